@@ -1,0 +1 @@
+"""Operators for preparing training corpora. Nothing outside this subpackage imports it."""
