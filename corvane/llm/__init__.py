@@ -1 +1,8 @@
 """Operators for preparing training corpora. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors travel by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.common import documents
 from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.html_extract import extract
 from corvane.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from corvane.llm.mixing import mix
+from corvane.llm.simhash import simhash_components
+from corvane.llm.telephony import describe, store_text
+from corvane.llm.unigram import token_digest
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +30,26 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(documents(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     return line_dedup(d.select("doc_id", "text").na.fill("", ["text"])).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op9_line_dedup)}
+def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(store_text(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op5_simhash, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
