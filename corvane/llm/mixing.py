@@ -115,12 +115,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = match(match(cells, lam), targets).withColumn("rate", rate).withColumn("frac", F.col("rate") - F.floor("rate")).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("frac")).over(down), F.lit(0.0))).select(F.col("source").alias("ps"), F.col("size").alias("pz"), "source_size", "target", "rate", "frac", "start")
     within = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead = subcells.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    starts = cut(ahead.join(plan, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz"))).select(F.col("source").alias("cs"), F.col("size").alias("cz"), F.col("salt").alias("ct"), "ahead", "source_size", "target", "rate", "frac", "start"))
+    starts = cut(ahead.join(plan, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz"))).select(F.col("source").alias("__cs"), F.col("size").alias("__cz"), F.col("salt").alias("__ct"), *[F.col(c).alias(f"__{c}") for c in ("ahead", "source_size", "target", "rate", "frac", "start")]))
     ranked = narrow.withColumn("__rank", F.row_number().over(Window.partitionBy("__src", "__size", "__salt").orderBy("__h", "__id")))
-    out = ranked.join(starts, F.col("__src").eqNullSafe(F.col("cs")) & (F.col("__size") == F.col("cz")) & (F.col("__salt") == F.col("ct")))
-    place = F.col("ahead") + F.col("__rank")
-    step = lambda k: F.floor(F.col("start") + k * F.col("frac") + F.lit(0.5))
-    copies = (F.floor("rate") + step(place) - step(place - 1)).cast("long")
+    out = ranked.join(starts, F.col("__src").eqNullSafe(F.col("__cs")) & (F.col("__size") == F.col("__cz")) & (F.col("__salt") == F.col("__ct")))
+    place = F.col("__ahead") + F.col("__rank")
+    step = lambda k: F.floor(F.col("__start") + k * F.col("__frac") + F.lit(0.5))
+    copies = (F.floor("__rate") + step(place) - step(place - 1)).cast("long")
     if carry:
         return out.select(*df.columns, copies.alias("__copies"))
-    return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("source_size"), F.col("target"), (copies * F.col("__size")).alias("taken"), F.col("rate"), copies.alias("copies"))
+    return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (copies * F.col("__size")).alias("taken"), F.col("__rate").alias("rate"), copies.alias("copies"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.common import documents
+from corvane.llm.crf_quality import quality
 from corvane.llm.exact_dedup import exact_dedup
 from corvane.llm.html_extract import extract
+from corvane.llm.license_scan import LICENSE_SQL, scan
 from corvane.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_components
@@ -30,10 +32,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(documents(spark, sf_dir, "pages"))
 
@@ -51,5 +61,5 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store_text(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op5_simhash, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op6_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
