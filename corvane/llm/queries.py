@@ -12,6 +12,7 @@ from corvane.llm.license_scan import LICENSE_SQL, scan
 from corvane.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from corvane.llm.mixing import mix
 from corvane.llm.simhash import simhash_components
+from corvane.llm.substring_dedup import substring_dedup
 from corvane.llm.telephony import describe, store_text
 from corvane.llm.unigram import token_digest
 
@@ -28,6 +29,10 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -61,5 +66,5 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store_text(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
