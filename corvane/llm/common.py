@@ -25,10 +25,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder.
+
+    ``small`` is for tables of counts, edges and states, which take few bytes: they are written by one task for each core of the cluster, not one for each shuffle partition."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)) if small else df).checkpoint(eager=True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours are gathered; each round's edges are cut with a checkpoint; the driver sees one
     count and one checksum a round. Only nodes that have edges appear. Null ends and loops are ignored.
     """
-    e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select("b", "a"))
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, F.col("a") == F.col("k"))
-        e = cut(small.select("a", "m").union(small.filter("b <> m").select("b", "m")).distinct().toDF("a", "b"))
+        e = cut(small.select("a", "m").union(small.filter("b <> m").select("b", "m")).distinct().toDF("a", "b"), small=True)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

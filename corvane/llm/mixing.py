@@ -60,7 +60,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST, steps: int
         .withColumn("lam", F.when(F.col("done"), F.col("hi")).otherwise(F.lit(0.0)))
         .select("source", "target", "unit", "lo", "hi", "lam", "done")
     )
-    state = cut(base)
+    state = cut(base, small=True)
     exact = lambda x: F.sum(x.cast("decimal(38,12)")).cast("double")
     for _ in range(steps):
         if not state.filter(~F.col("done")).limit(1).count():
@@ -74,7 +74,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST, steps: int
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         j = j.withColumns({"lo2": lo, "hi2": hi, "new": F.col("lam") - gap / F.nullif(F.col("hess"), F.lit(0.0)), "near": F.abs(gap) <= F.lit(CLOSE) * F.greatest(F.col("target") / F.col("unit"), F.lit(1e-9))})
         new = F.when((F.col("new") > F.col("lo2")) & (F.col("new") < F.col("hi2")), F.col("new")).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        state = cut(j.select("source", "target", "unit", F.when(F.col("done"), F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(F.col("done") | F.col("near"), F.col("lam")).otherwise(new).alias("lam"), (F.col("done") | F.col("near")).alias("done")))
+        state = cut(j.select("source", "target", "unit", F.when(F.col("done"), F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(F.col("done") | F.col("near"), F.col("lam")).otherwise(new).alias("lam"), (F.col("done") | F.col("near")).alias("done")), small=True)
     return state.select("source", "lam", "unit")
 
 
@@ -99,10 +99,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = df.withColumns({"__src": F.col(source_col), "__id": F.col(id_col), "__size": size})
     rows = rows.withColumn("__h", F.xxhash64(F.col("__id"), F.col("__size"))).withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALTS)))
     narrow = rows.select("__src", "__id", "__size", "__h", "__salt") if not carry else rows
-    subcells = cut(narrow.groupBy(F.col("__src").alias("source"), F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")))
+    subcells = cut(narrow.groupBy(F.col("__src").alias("source"), F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")), small=True)
     cells = subcells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    targets = cut(source_targets(sizes, weights, share, most))
+    targets = cut(source_targets(sizes, weights, share, most), small=True)
     lam = balance(cells, targets, most)
 
     def match(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = match(match(cells, lam), targets).withColumn("rate", rate).withColumn("frac", F.col("rate") - F.floor("rate")).withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("frac")).over(down), F.lit(0.0))).select(F.col("source").alias("ps"), F.col("size").alias("pz"), "source_size", "target", "rate", "frac", "start")
     within = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead = subcells.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    starts = cut(ahead.join(plan, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz"))).select(F.col("source").alias("__cs"), F.col("size").alias("__cz"), F.col("salt").alias("__ct"), *[F.col(c).alias(f"__{c}") for c in ("ahead", "source_size", "target", "rate", "frac", "start")]))
+    starts = cut(ahead.join(plan, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz"))).select(F.col("source").alias("__cs"), F.col("size").alias("__cz"), F.col("salt").alias("__ct"), *[F.col(c).alias(f"__{c}") for c in ("ahead", "source_size", "target", "rate", "frac", "start")]), small=True)
     ranked = narrow.withColumn("__rank", F.row_number().over(Window.partitionBy("__src", "__size", "__salt").orderBy("__h", "__id")))
     out = ranked.join(starts, F.col("__src").eqNullSafe(F.col("__cs")) & (F.col("__size") == F.col("__cz")) & (F.col("__salt") == F.col("__ct")))
     place = F.col("__ahead") + F.col("__rank")

@@ -97,7 +97,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     assert width >= 16 or blocks <= 8
     mask = (1 << width) - 1
     spots = distinct.select("fp", F.explode(F.array(*[F.lit(i) * F.lit(1 << width) + F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit(mask)) for i in range(blocks)])).alias("key"))
-    counts = cut(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")), small=True)
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = counts.filter(F.col("n") > HEAVY).select(F.col("key").alias("hk"), F.ceil(F.col("n") / HEAVY).cast("int").alias("m"))
     joined = spots.join(F.broadcast(heavy), F.col("key") == F.col("hk"), "left")
@@ -147,7 +147,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     returned. An empty table gives an empty result. Other columns are not carried.
     """
     rows = cut(fingerprints(df, id_col, text_col, shingle))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), small=True)
     linked = connected_components(links(nodes.select("fp"), radius))
     labelled = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -20,7 +20,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the worst piece by this much: the score of a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Chunks of at most so many bytes are decoded together by numpy, longer ones by themselves; chunks remembered in a task.
-TOGETHER, REMEMBERED = 48, 400_000
+TOGETHER, REMEMBERED = 48, 150_000
 CHUNK = re.compile(rb" +[^ ]*")
 
 
@@ -232,16 +232,15 @@ class Unigram:
         flat = ids[:, ::-1]
         return [flat[i, width - u :] for i, u in enumerate(used.tolist())]
 
-    def encode_batch(self, texts: list[bytes], memory: dict | None = None) -> list[np.ndarray]:
-        """Ids of each text. Each chunk that texts share is decoded once."""
+    def encode_batch(self, texts: list[bytes], memory: dict[bytes, bytes] | None = None) -> list[np.ndarray]:
+        """Ids of each text. Each chunk that texts share is decoded once and remembered as the bytes of its ids."""
         memory = {} if memory is None else memory
         if len(memory) > REMEMBERED:
             memory.clear()
         split = [CHUNK.findall(b" " + t.replace(MARK, b" ")) if t else [] for t in texts]
         new = list({c for s in split for c in s if c not in memory})
-        memory.update(zip(new, self.encode_chunks(new)))
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([memory[c] for c in s]) if s else empty for s in split]
+        memory.update(zip(new, (x.astype(np.int32).tobytes() for x in self.encode_chunks(new))))
+        return [np.frombuffer(b"".join([memory[c] for c in s]), np.int32) for s in split]
 
     def decode(self, ids) -> bytes:
         table = self.bytes_of
@@ -259,15 +258,17 @@ def _tokens(df: DataFrame, text_col: str, model: str):
     return df.sparkSession.sparkContext.broadcast(vocabulary(model))
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", model: str = MODEL) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", model: str = MODEL, check_col: str | None = None) -> DataFrame:
     """The input with ``out_col`` added (replaced if there): array of int ids; null text gives null, empty text an empty array.
 
+    ``check_col`` adds whether decoding the ids gives the text again (null for null).
+
     Ids, ties, repeated rows and other columns pass through as they are. The model file is read on the driver only.
     """
     from pyspark.sql import types as T
 
-    kept = [c for c in df.columns if c != out_col]
-    shared, names = _tokens(df, text_col, model), [*kept, out_col]
+    kept = [c for c in df.columns if c not in (out_col, check_col)]
+    shared, names = _tokens(df, text_col, model), [*kept, out_col, *([check_col] if check_col else [])]
     plain = df.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text_col)
 
@@ -281,9 +282,11 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "token_ids", mo
                 offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
                 mask = pa.array([t is None for t in texts])
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()), mask=mask)
-                yield pa.RecordBatch.from_arrays([*part.columns, arrays], names)
+                checks = [pa.array([None if t is None else shared.value.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())] if check_col else []
+                yield pa.RecordBatch.from_arrays([*part.columns, arrays, *checks], names)
 
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])]
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added]))
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
