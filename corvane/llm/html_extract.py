@@ -19,17 +19,17 @@ BLOCK = frozenset("html body address article aside blockquote center dd details
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "legend"}
 #: Elements that never hold article text.
 NOT_TEXT = frozenset("head script style noscript template iframe svg nav footer header aside form button select option textarea input menu dialog object canvas audio video map title".split())
-#: Words of a class, id or role that mark blocks beside the article.
+#: Words of a class, id or role that mark blocks beside the article. A mark counts only if the block holds no article or main element, not half of all text with an h1, and not nearly all text; likewise a form.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|copyright|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|recommend\w*|related|remark|replies|reply|respond|share|sharing|sidebar\w*|side-?bar|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|widget\w*|navigation|complementary|contentinfo|search|alert)(?:$|[\s_-])", re.I)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "score", "sum", "up")
+    __slots__ = ("tag", "kids", "noise", "marked", "holds", "chars", "tags", "link_chars", "link_tags", "score", "sum", "up")
 
-    def __init__(self, tag: str, up: Node | None, noise: bool = False):
-        self.tag, self.up, self.noise, self.kids = tag, up, noise, []
+    def __init__(self, tag: str, up: Node | None, noise: bool = False, marked: bool = False):
+        self.tag, self.up, self.noise, self.marked, self.kids = tag, up, noise, marked, []
 
 
 def parse(page: str) -> Node:
@@ -71,13 +71,13 @@ def parse(page: str) -> Node:
                 up = up.up
             if up.tag in same:
                 now = up.up
-        noise = tag in NOT_TEXT
+        noise, marked = tag in NOT_TEXT, tag == "form"
         if not noise and m[3]:
             for name, a, b, c in ATTR.findall(m[3]):
                 name, value = name.lower(), a or b or c
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NOISE.search(value):
-                    noise = True
-        node = Node(tag, now, noise)
+                    noise = marked = True
+        node = Node(tag, now, noise, marked)
         now.kids.append(node)
         if tag in RAW:
             end = RAW[tag].search(page, at)
@@ -104,6 +104,12 @@ def measure(root: Node) -> Node:
         if x.tag == "body" and body is None:
             body = x
         stack += [k for k in x.kids if type(k) is Node]
+    everything = sum(len(k) for x in order if x.tag not in RAW for k in x.kids if type(k) is str and not k.isspace())
+    for x in reversed(order):  # a mark on a wrapper of the whole article, or of nearly all text, says nothing
+        x.holds = max([2 if x.tag in ("article", "main") else x.tag == "h1", *(k.holds for k in x.kids if type(k) is Node)])
+        x.sum = sum(k.sum if type(k) is Node else len(k) if not k.isspace() else 0 for k in x.kids) if x.tag not in RAW else 0
+        if x.marked and (x.holds == 2 or x.sum > (0.5 if x.holds else 0.9) * everything):
+            x.noise = False
     for x in reversed(order):
         c = t = lc = lt = 0
         for k in x.kids:

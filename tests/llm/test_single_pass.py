@@ -51,6 +51,8 @@ def test_articles_without_markers():
     body = "".join(f"<p>{words(i, 40)}</p>" for i in range(4))
     page = f"<div><div class=menu><a href=1>one</a><a href=2>two</a></div><div><div>{body}</div></div><table><tr><td><a href=3>x</a></table></div>"
     assert html_extract.main_text(page) == "\n".join(words(i, 40) for i in range(4))
+    assert html_extract.main_text(f"<form><div class='page with-sidebar'><h1>A</h1>{body}</div></form>") == "A\n" + "\n".join(words(i, 40) for i in range(4))
+    assert html_extract.main_text(f"<div class='content with-sidebar'>{body}</div>") == "\n".join(words(i, 40) for i in range(4))
     assert html_extract.main_text("<article><h1>A</h1>" + body + "</article><section class='comments'>" + body + "</section>").startswith("A\n")
 
 
