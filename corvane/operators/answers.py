@@ -112,3 +112,21 @@ def abstention(queries: DataFrame, hits: DataFrame, least: float = 0.3, enough:
     n, rel = F.coalesce("n_hits", F.lit(0)).cast("long"), F.coalesce("n_relevant", F.lit(0)).cast("long")
     reason = F.when(n == 0, "no_hits").when(F.col("max_score") < least, "low_similarity").when(rel < enough, "too_few_relevant").otherwise("answer")
     return j.select("query_id", n.alias("n_hits"), F.col("max_score"), rel.alias("n_relevant"), (reason != "answer").alias("abstain"), reason.alias("reason"))
+
+
+def format_context(hits: DataFrame, group: str = "query_id", order: str = "rank", text_col: str = "text", start: str | None = None, end: str | None = None, file: str | None = None) -> DataFrame:
+    """(group, context): numbered texts, each with its file and times where it has times."""
+    from corvane.functions.text import hh_mm_ss
+
+    head = F.concat(F.col(order).cast("string"), F.lit(". "))
+    if start and end:
+        name = F.coalesce(F.col(file), F.lit("")) if file else F.lit("")
+        stamp = F.concat(F.lit("["), name, F.lit(":"), hh_mm_ss(F.col(start)), F.lit("-"), hh_mm_ss(F.col(end)), F.lit("]\n"))
+        head = F.concat(head, F.when(F.col(start).isNotNull() & F.col(end).isNotNull(), stamp).otherwise(""))
+    line = F.concat(head, F.col(text_col), F.lit("\n"))
+    return hits.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
+
+
+def format_sources(hits: DataFrame, group: str = "query_id", order: str = "rank", columns: tuple = ("id", "text", "score")) -> DataFrame:
+    """(group, sources): the hits of each query as an array of structs in order; a query's hits are few."""
+    return hits.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*columns).alias("s")))), lambda x: x["s"]).alias("sources"))

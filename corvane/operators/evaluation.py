@@ -76,3 +76,21 @@ def generated_queries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, query): the first sentence, of 21 to 150 characters, of texts of at least 50; ``most`` of them, the smallest ids."""
     q = F.substring(F.substring_index(text_col, ".", 1), 1, 150)
     return docs.filter(F.length(text_col) >= 50).select(F.col(id_col).alias("id"), F.trim(q).alias("query")).filter(F.length("query") > 20).orderBy("id").limit(most)
+
+
+def semantic_similarity(df: DataFrame, prediction: str = "prediction", truth: str = "truth", digits: int = 6) -> DataFrame:
+    """Adds semantic: the cosine of the two embeddings."""
+    from corvane.functions.vectors import cosine, hashed_embedding
+
+    return df.withColumns({"__p": hashed_embedding(F.col(prediction)), "__t": hashed_embedding(F.col(truth))}).withColumn("semantic", F.round(cosine(F.col("__p"), F.col("__t")), digits)).drop("__p", "__t")
+
+
+def random_configurations(spark: SparkSession, grid: dict[str, list], count: int, seed: int = 0) -> DataFrame:
+    """``count`` different combinations of the grid, the same for the same seed."""
+    full = parameter_grid(spark, grid)
+    return full.orderBy(F.xxhash64("config_id", F.lit(seed)), "config_id").limit(count)
+
+
+def accuracy(confusion: DataFrame) -> DataFrame:
+    """(n, n_correct, accuracy) of a confusion table."""
+    return confusion.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("correct"), F.col("n"))), F.lit(0)).alias("n_correct")).withColumn("accuracy", F.when(F.col("n") > 0, F.round(F.col("n_correct") / F.col("n"), 6)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def retrieve(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0
     return search.hybrid(near, scored, k, alpha)
 
 
-def answer(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7, budget: int = 1000, template: str = "basic", least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def answer(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7, budget: int = 1000, template: str = "basic", least: float = 0.3, generator=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, context, prompt, answer, abstain, reason, n_claims, coverage, confidence, level, action).
 
     Retrieve, abstain early where hits are weak, compress, build the context, answer by extraction (the best
@@ -50,9 +51,34 @@ def answer(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7
     rows = questions.select("query_id", "question").join(context, "query_id", "left").join(said, "query_id", "left").join(quality, "query_id", "left").join(state.select("query_id", "abstain", "reason"), "query_id", "left")
     rows = rows.withColumns({"context": F.coalesce("context", F.lit("")), "answer": F.when(F.col("abstain"), "There is no information on this: not found.").otherwise(F.coalesce("answer", F.lit("")))})
     rows = rows.withColumn("prompt", prompt(template, F.col("context"), F.col("question")))
+    if generator is not None:
+        rows = rows.withColumn("answer", F.when(F.col("abstain"), F.col("answer")).otherwise(generated(F.col("prompt"), generator)))
     return answers.verify(rows, retrieval=F.coalesce("quality", F.lit(0.5)), keys=("query_id", "context", "prompt", "answer", "abstain", "reason"))
 
 
+def generated(prompts, generator):
+    """Answers of a generator provider on Arrow batches; what it raises becomes the answer's text."""
+    def one(p: str) -> str:
+        try:
+            return generator.answer(p)
+        except Exception as x:  # noqa: BLE001
+            return f"Error: {x}"
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return run(prompts)
+
+
+def retrieve_and_compress(docs: DataFrame, questions: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, rank, compressed, ...): 2k hits, compressed, of which the first k with anything left stay."""
+    hits = retrieve(docs, questions, 2 * k, id_col=id_col, text_col=text_col)
+    pairs = hits.join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").join(questions.select("query_id", F.col("question").alias("query")), "query_id")
+    small = answers.extractive_compress(pairs, keys=("query_id", "id", "rank"))
+    return lexical.top_k(small.withColumn("order", -F.col("rank")).drop("rank"), k, "order").drop("order")
+
+
 def multi_query(docs: DataFrame, questions: DataFrame, k: int = 5, expansions: int = 3, fusion: str = "rrf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each question's variants are searched as questions of their own, 2k hits each, then fused to k."""
     v = lexical.expand_synonyms(questions, "query_id", "question", expansions)
