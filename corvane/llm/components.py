@@ -9,25 +9,42 @@ from pyspark.sql import functions as F
 from corvane.llm.common import cut
 
 
+#: Nodes with more than one in so many of all edges are joined by broadcast: there are at most twice as many of them.
+HEAVY_SHARE, HEAVY_LEAST = 10_000, 200
+
+
+def _with_least(pairs: DataFrame, count: int) -> DataFrame:
+    """pairs (a, b) to (a, b, m): m is the smallest b of each a.
+
+    Minima are aggregated map-side. The few nodes that hold a large share of all edges meet their minimum by a broadcast, whose size
+    HEAVY_SHARE bounds, and are never dealt to one task; all others by a join.
+    """
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "k")
+    many = max(HEAVY_LEAST, count // HEAVY_SHARE)
+    heavy = F.broadcast(least.filter(F.col("n") > many).select(F.col("k").alias("hk"), F.col("m").alias("hm")))
+    light = least.filter(F.col("n") <= many).select("k", "m")
+    marked = pairs.join(heavy, F.col("a") == F.col("hk"), "left")
+    hot = marked.filter("hk is not null").select("a", "b", F.col("hm").alias("m"))
+    return hot.unionByName(marked.filter("hk is null").join(light, F.col("a") == F.col("k")).select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of longs to (node, root): root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, in which each node hands its neighbours its
-    smallest neighbour, until the edges are stars. Minima are aggregated map-side and joined back, so no node's
-    neighbours are gathered; each round's edges are cut with a checkpoint; the driver sees one
-    count and one checksum a round. Only nodes that have edges appear. Null ends and loops are ignored.
+    smallest neighbour, until the edges are stars. No node's neighbours are gathered; each
+    round's edges are cut with a checkpoint; the driver sees one count and one checksum a round. Only
+    nodes that have edges appear. Null ends and loops are ignored.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
-    seen = None
-    for _ in range(most_rounds):
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "k")
-        large = both.join(least, F.col("a") == F.col("k")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k"))
+    state = lambda: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state()
+    for _ in range(most_rounds if seen[0] else 0):
+        large = _with_least(e.union(e.select("b", "a")), seen[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = _with_least(large, seen[0])
         e = cut(small.select("a", "m").union(small.filter("b <> m").select("b", "m")).distinct().toDF("a", "b"), small=True)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
+        now = state()
+        if now == seen:
             break
         seen = now
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
