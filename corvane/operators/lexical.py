@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Rows (query, token) that are broadcast at most: some 20 MB.
+BROADCAST_TERMS = 200_000
 
 # Heads and synonyms for query expansion, in order.
 SYNONYMS = [
@@ -35,10 +37,10 @@ SYNONYMS = [
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, id, tf, len): the index. Built once, it serves any number of queries; len is the document's number of tokens.
 
-    One shuffle by (id, token) after map-side counting; a document's tokens are exploded in its own task.
+    Documents are dealt by id once; counting a document's tokens and, later, summing its scores then need no further shuffle.
     """
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    return t.select("id", F.size("toks").cast("long").alias("len"), F.explode("toks").alias("token")).groupBy("id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    t = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition("id").select("id", tokens(F.col("t")).alias("toks"))
+    return t.select("id", F.size("toks").cast("long").alias("len"), F.explode_outer("toks").alias("token")).filter("token is not null").groupBy("id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,14 +62,16 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) for documents that share a token with the query.
 
-    Only postings of the queries' tokens are read past the first join; sums combine map-side.
+    The index stays dealt by id. Up to BROADCAST_TERMS query tokens, counted first, are broadcast with their idf, and
+    sums need no shuffle; beyond that the index is joined on the token.
     """
+    few = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
     wanted = terms.select("token").distinct()
-    hit = index.join(wanted, "token", "left_semi")
-    idf = bm25_idf(hit, stats)
+    idf = bm25_idf(index.join(wanted, "token", "left_semi"), stats).select("token", "idf")
+    weights = terms.join(idf, "token").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("weight"))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (1 - b + F.lit(b) * F.col("len") / F.col("avgdl")))
-    weighted = hit.join(idf.select("token", "idf"), "token").crossJoin(F.broadcast(stats.select("avgdl"))).select("token", "id", (F.col("idf") * tf).alias("w"))
-    return terms.join(weighted, "token").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    frequencies = index.crossJoin(F.broadcast(stats.select("avgdl"))).select("token", "id", tf.alias("f"))
+    return frequencies.join(few(weights), "token").groupBy("query_id", "id").agg(F.sum(F.col("f") * F.col("weight")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", group: str = "query_id", tie: str = "id") -> DataFrame:

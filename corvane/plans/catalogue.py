@@ -9,6 +9,7 @@ from corvane.functions import metrics as M
 from corvane.functions import text as T
 from corvane.functions.vectors import dot as _dot
 from corvane.operators import answers, chunking, conflict, evaluation, lexical, registry, search
+from corvane.sources.tables import table as _table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,10 +28,6 @@ def _query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _TOK = r"[\p{L}\p{N}_]+"
 _BM25 = rf"""
 toks AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '{_TOK}') AS t FROM documents),
@@ -134,7 +131,7 @@ hy AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.id)
 
 @_query(f"WITH {_BM25}, {_EMB} SELECT query_id, id, vector_score, bm25_score, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hy) WHERE rank <= {K}")
 def hybrid_search(spark, sf_dir):
-    docs = search.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = search.embed(_table(spark, sf_dir, "documents", spread=True).select("doc_id", "text"))
     q = search.embed(_table(spark, sf_dir, "benchmark"))
     near = search.knn(docs, q, 2 * K, id_col="doc_id", query_id="item_id")
     return search.hybrid(near, _bm25(spark, sf_dir), K, alpha=0.7).withColumn("rank", F.col("rank").cast("long"))
@@ -299,17 +296,17 @@ def chunk_sentences(spark, sf_dir):
 
 @_query()
 def chunk_sentence_packed(spark, sf_dir):
-    return chunking.chunk(_table(spark, sf_dir, "documents"), "sentence")
+    return chunking.chunk(_table(spark, sf_dir, "documents", spread=True), "sentence")
 
 
 @_query()
 def chunk_recursive(spark, sf_dir):
-    return chunking.chunk(_table(spark, sf_dir, "documents"), "recursive")
+    return chunking.chunk(_table(spark, sf_dir, "documents", spread=True), "recursive")
 
 
 @_query()
 def chunk_semantic(spark, sf_dir):
-    return chunking.chunk(_table(spark, sf_dir, "documents"), "semantic")
+    return chunking.chunk(_table(spark, sf_dir, "documents", spread=True), "semantic")
 
 
 @_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS part FROM documents),
