@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,8 +38,8 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     return (df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)) if small else df).checkpoint(eager=True)
 
 
-def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents", spread: bool = False) -> DataFrame:
+    return table(spark, sf_dir, name, spread)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir))
+    return substring_dedup(documents(spark, sf_dir, spread=True))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,23 +38,23 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return quality(documents(spark, sf_dir, spread=True), documents(spark, sf_dir, "labels"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(documents(spark, sf_dir))
+    return simhash_components(documents(spark, sf_dir, spread=True))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir, spread=True))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(documents(spark, sf_dir, "pages"))
+    return extract(documents(spark, sf_dir, "pages", spread=True))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(documents(spark, sf_dir))
+    return token_digest(documents(spark, sf_dir, spread=True))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(store_text(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+    return describe(store_text(documents(spark, sf_dir, spread=True))).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
