@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,33 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents", spread:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of the filter on ids: its size is fixed (2 MB), it only saves work.
+FILTER_BITS = 1 << 24
+
+
+def taking_part(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, t): ids and UTF-8 texts of the rows whose id may stand in ``ids`` (one column, id).
+
+    A bitmap of fixed size over hashes of the ids drops nearly all other rows before any shuffle; those that pass by chance
+    find no partner in the join that follows.
+    """
+    spark = df.sparkSession
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    wanted = ids.select("id").distinct().withColumn("bit", bit)
+    maps = wanted.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
+    for r in maps:
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1, pa.uint8()).cast(pa.bool_()))
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "t"])
+
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).filter("id is not null and t is not null").withColumn("bit", bit)
+    return plain.mapInArrow(run, "id long, t binary")

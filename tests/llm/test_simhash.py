@@ -105,3 +105,65 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_groups(rows, similarity=0.8):
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for _, t in rows)]
+    ids = [i for i, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if not sets[i] and not sets[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def edited(text, every, seed):
+    rng = random.Random(seed)
+    return " ".join("changed" + str(rng.randrange(999)) if k % every == seed % every else w for k, w in enumerate(text.split()))
+
+
+def test_near_duplicates_match_brute_force(spark):
+    rows = [(i, words(i, 60 + 7 * i)) for i in range(40)]
+    rows += [(100 + i, edited(words(i, 60 + 7 * i), 80, i)) for i in range(40)]  # about 0.88 alike
+    rows += [(200 + i, edited(words(i, 60 + 7 * i), 12, i)) for i in range(40)]  # far less alike
+    rows += [(300, words(3, 81)), (301, words(3, 81).upper()), (302, ""), (303, " "), (304, words(5, 95) + " " + words(6, 60)), (305, "one two"), (306, "one two three")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i, _ in rows] == plain_groups(rows)
+
+
+def test_near_duplicates_in_dense_and_heavy_classes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 64)
+    base = words(1, 300)
+    rows = [(i, edited(base, 150, i)) for i in range(150)] + [(500 + i, words(1000 + i, 300)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i, _ in rows] == plain_groups(rows)
+
+
+def test_near_duplicates_messy_and_empty(spark):
+    df = messy(spark)
+    out = simhash.near_duplicates(df)
+    assert out.count() == df.count() and {r.doc_id: r.group_id for r in out.filter("doc_id is not null").collect()}[6] == 5
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_spanning_edges_connect_the_same_parts():
+    rng = np.random.default_rng(3)
+    x, y, d = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 14, 400)
+    keep = simhash.spanning_edges(60, x, y, d)
+    assert len(keep) < 150 and (local_components(60, x[keep], y[keep]) == local_components(60, x, y)).all()
+    kept = simhash.thinned(60, np.tile(x, 2), np.tile(y, 2), np.tile(d, 2))
+    assert len(kept) < 800 and (local_components(60, np.tile(x, 2)[kept], np.tile(y, 2)[kept]) == local_components(60, x, y)).all()
