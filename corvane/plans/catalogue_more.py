@@ -56,7 +56,7 @@ def conflict_pairs(spark, sf_dir):
 @_query(f"""WITH {_CHUNK_SQL}, d AS (SELECT *, CASE id WHEN 1 THEN DATE '2024-03-01' WHEN 2 THEN DATE '2019-09-01' WHEN 4 THEN DATE '2023-02-01' WHEN 7 THEN DATE '2022-12-31' WHEN 8 THEN DATE '2021-01-01' END AS doc_date FROM chunks),
 s AS (SELECT *, round(coalesce(0.4::DOUBLE * greatest(0.0::DOUBLE, 1 - date_diff('day', doc_date, DATE '2025-01-01') / 3650.0::DOUBLE), 0) + CASE WHEN id IN (1, 5) THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN id = 2 THEN 0.2::DOUBLE ELSE 0 END + 0.3::DOUBLE * similarity, 6) AS resolved_score FROM d),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, substr(text, 1, 200) ORDER BY resolved_score DESC, id) = 1)
-SELECT query_id, id, strftime(doc_date, '%Y-%m-%d') AS doc_date, resolved_score, row_number() OVER (PARTITION BY query_id ORDER BY resolved_score DESC, id) AS rank FROM f""")
+SELECT query_id::BIGINT AS query_id, id::BIGINT AS id, strftime(doc_date, '%Y-%m-%d') AS doc_date, resolved_score, row_number() OVER (PARTITION BY query_id ORDER BY resolved_score DESC, id) AS rank FROM f""")
 def conflict_resolve_newer(spark, sf_dir):
     return conflict.resolve(_chunks(spark), "2025-01-01").select("query_id", "id", F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"), "resolved_score", F.col("rank").cast("long").alias("rank"))
 
