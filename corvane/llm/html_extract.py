@@ -5,13 +5,15 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Possessive, so that unclosed tags cost no second look; an unclosed quotation mark is an ordinary character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -36,6 +38,15 @@ def parse(page: str) -> Node:
     """A tolerant tree: kids are nodes or strings; p, li, dd, dt, tr, td, th and option close themselves; stray end tags are passed over."""
     root = Node("#root", None)
     at, now, n = 0, root, len(page)
+    opened: Counter = Counter()  # open elements by tag: a stray end tag costs no walk
+
+    def rise(to: Node) -> Node:
+        x = now
+        while x is not to:
+            opened[x.tag] -= 1
+            x = x.up
+        return to
+
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -48,6 +59,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             up = now
             while up is not root and up.tag != tag:
                 # an inline end tag does not close blocks
@@ -56,21 +69,21 @@ def parse(page: str) -> Node:
                     break
                 up = up.up
             if up is not root:
-                now = up.up
+                now = rise(up.up)
             continue
         if tag in CLOSES_P:
             up = now
             while up is not root and up.tag not in BLOCK:
                 up = up.up
             if up.tag == "p":
-                now = up.up
+                now = rise(up.up)
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             same, stop = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}[tag]
             up = now
             while up is not root and up.tag not in same and up.tag not in stop:
                 up = up.up
             if up.tag in same:
-                now = up.up
+                now = rise(up.up)
         noise, marked = tag in NOT_TEXT, tag == "form"
         if not noise and m[3]:
             for name, a, b, c in ATTR.findall(m[3]):
@@ -85,8 +98,10 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             now = node
+            opened[tag] += 1
         elif tag not in VOID and tag in BLOCK:
-            now = node  # <div/> opens a div in HTML
+            now = node
+            opened[tag] += 1  # <div/> opens a div in HTML
     return root
 
 
