@@ -202,13 +202,38 @@ def thinned(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> np.ndarra
     return np.concatenate(kept)
 
 
-def near_edges(fps: np.ndarray, sizes: np.ndarray, upper: np.ndarray, radius: int, similarity: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs within the radius whose sizes allow the similarity; ``upper`` rows are not compared with each other. Dense groups are thinned. Tiles as in :func:`tiled_links`."""
+#: Most bits of a parity sketch, and pairs whose sketches are compared at once.
+SKETCH_BITS, PAIRS = 4096, 1 << 16
+
+
+def parity_sketch(h: np.ndarray) -> bytes:
+    """A bit for each remainder of a set of hashes, set if an odd number of them has it: two bits or more a hash, up to SKETCH_BITS.
+
+    Sketches of two sets differ in no more bits than the sets differ in hashes; halves of a sketch combined by exclusive-or are the sketch of half as many bits.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(h) - 1).bit_length())) if len(h) else 64
+    counts = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Parity sketches as rows, folded to the shortest among them."""
+    width = min(map(len, sketches), default=8) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width), axis=0)
+    return out
+
+
+def near_edges(fps: np.ndarray, sizes: np.ndarray, upper: np.ndarray, sketches: np.ndarray, radius: int, similarity: float, root: np.ndarray | None = None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, bits) of the pairs within the radius whose sizes and parity sketches allow the similarity, a block for each two tiles as in :func:`tiled_links`.
+
+    ``upper`` rows are not compared with each other, nor are rows of one ``root``. No pair of the similarity within the radius is left out.
+    """
     pop = np.bitwise_count(fps)
     order = np.argsort(pop, kind="stable")
     f, p, s, u = fps[order], pop[order].astype(np.int16), sizes[order].astype(np.float64), upper[order]
     cuts = [*range(0, len(f), tile), len(f)]
-    xs, ys, ds = [], [], []
     for i in range(len(cuts) - 1):
         a0, a1 = cuts[i], cuts[i + 1]
         for j in range(i, len(cuts) - 1):
@@ -221,16 +246,29 @@ def near_edges(fps: np.ndarray, sizes: np.ndarray, upper: np.ndarray, radius: in
             x, y = x + a0, y + b0
             ok = (x < y) & ~(u[x] & u[y]) & (np.minimum(s[x], s[y]) >= similarity * np.maximum(s[x], s[y]))
             x, y, d = x[ok], y[ok], d[ok]
-            keep = thinned(len(f), x, y, d)
-            x, y, d = x[keep], y[keep], d[keep]
-            xs.append(x)
-            ys.append(y)
-            ds.append(d)
-    if not xs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
-    keep = thinned(len(f), x, y, d)
-    return order[x[keep]], order[y[keep]]
+            most = (s[x] + s[y]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            x, y = order[x], order[y]
+            if root is not None:
+                ok = root[x] != root[y]
+                x, y, d, most = x[ok], y[ok], d[ok], most[ok]
+            for at in range(0, len(x), PAIRS):
+                q = slice(at, at + PAIRS)
+                ok = np.bitwise_count(sketches[x[q]] ^ sketches[y[q]]).sum(axis=1, dtype=np.int64) <= most[q]
+                if ok.any():
+                    yield x[q][ok], y[q][ok], d[q][ok]
+
+
+def thinned_edges(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The edges of all blocks, dense ones thinned, and whether any were left out."""
+    empty = np.empty(0, np.int64)
+    parts, less = [(empty, empty, np.empty(0, np.uint8))], False
+    for x, y, d in blocks:
+        keep = thinned(n, x, y, d)
+        less |= len(keep) < len(x)
+        parts.append((x[keep], y[keep], d[keep]))
+    x, y, d = (np.concatenate(v) for v in zip(*parts))
+    keep = thinned(n, x, y, d)
+    return x[keep], y[keep], less or len(keep) < len(x)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
@@ -239,8 +277,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are alike if the Jaccard similarity of their sets of word shingles reaches ``similarity``. Fingerprints
     of texts whose numbers of shingles allow that are compared in tiles; groups are classes of size and the class
     above, so no text meets texts of other lengths, and large classes are cut into pairs of parts. Pairs within ``radius``
-    bits are verified on the whole texts; of a dense group, in which they outnumber the texts DENSE to one, FORESTS
-    spanning forests are, the closest pairs first, so a group of n near copies gives some n pairs, not n * n.
+    bits, unless a bound by their parity sketches rules them out, are verified on the whole texts. Of a dense group, in which
+    they outnumber the texts DENSE to one, FORESTS spanning forests are verified first, the closest pairs first, so a
+    group of n near copies gives some n pairs, not n * n; then all other pairs of that group whose ends verified pairs have
+    not connected.
 
     Texts equal in words are one node. A null id is no one's group: such rows keep a null group unless their text equals
     that of a row with an id. Null text counts as empty; texts without words are alike. Rows repeating an id count by each of
@@ -250,44 +290,53 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, size, same = [], [], []
+            fp, size, same, sketches = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))  # sets are compared, so each shingle counts once
                 fp.append(simhash(h))
                 size.append(len(h))
+                sketches.append(parity_sketch(h))
                 same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64())], ["id", "node", "fp", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketches, pa.binary())], ["id", "node", "fp", "size", "sketch"])
 
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    rows = cut(plain.mapInArrow(sketch, "id long, node long, fp long, size long"))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size")), small=True)
+    rows = cut(plain.mapInArrow(sketch, "id long, node long, fp long, size long, sketch binary"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), small=True)
     step = -float(np.log(similarity))
     classed = nodes.filter("size > 0 and id is not null").withColumn("class", F.floor(F.ln("size") / step).cast("long"))
-    spots = classed.select("node", "fp", "size", F.explode(F.array(F.struct(F.col("class").alias("key"), F.lit(False).alias("upper")), F.struct((F.col("class") - 1).alias("key"), F.lit(True).alias("upper")))).alias("s")).select("node", "fp", "size", "s.*")
+    spots = classed.select("node", "fp", "size", "sketch", F.explode(F.array(F.struct(F.col("class").alias("key"), F.lit(False).alias("upper")), F.struct((F.col("class") - 1).alias("key"), F.lit(True).alias("upper")))).alias("s")).select("node", "fp", "size", "sketch", "s.*")
     counts = cut(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")), small=True)
     heavy = counts.filter(F.col("n") > HEAVY).select(F.col("key").alias("hk"), F.ceil(F.col("n") / HEAVY).cast("int").alias("m"))
     joined = spots.join(F.broadcast(heavy), F.col("key") == F.col("hk"), "left")  # one row for each class of size
     part = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = joined.select("node", "fp", "size", "upper", "key", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(part, j) * F.lit(1 << 15) + F.greatest(part, j)))).alias("sub"))
+    dealt = joined.select("node", "fp", "size", "sketch", "upper", "key", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(part, j) * F.lit(1 << 15) + F.greatest(part, j)))).alias("sub"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        node, fp, size, upper, key, sub = (t.column(c).to_numpy() for c in ("node", "fp", "size", "upper", "key", "sub"))
+        node, fp, size, upper, key, sub, root = (t.column(c).to_numpy() for c in ("node", "fp", "size", "upper", "key", "sub", "root"))
+        sketches = t.column("sketch")
         order = np.lexsort((sub, key))
-        node, fp, size, upper, key, sub = (v[order] for v in (node, fp.view(np.uint64), size, upper, key, sub))
+        node, fp, size, upper, key, sub, root = (v[order] for v in (node, fp.view(np.uint64), size, upper, key, sub, root))
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
         for a, b in zip(starts, np.r_[starts[1:], len(node)]):
-            x, y = near_edges(fp[a:b], size[a:b], upper[a:b], radius, similarity)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][x]), pa.array(node[a:b][y])], ["a", "b"])
+            sketch = folded(sketches.take(pa.array(order[a:b])).to_pylist())
+            yield key[a], sub[a], node[a:b], root[a:b], (fp[a:b], size[a:b], upper[a:b], sketch, radius, similarity)
 
-    found = dealt.repartition(shuffle_partitions(spark), "key", "sub").mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    named = nodes.select(F.col("node").alias("n"), F.col("id").alias("i"))
-    pairs = cut(found.join(named, F.col("a") == F.col("n")).select("a", "b", F.col("i").alias("ia")).join(named, F.col("b") == F.col("n")).select("a", "b", "ia", F.col("i").alias("ib")), small=True)
-    texts = taking_part(df, pairs.select(F.col("ia").alias("id")).union(pairs.select("ib")), id_col, text_col)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sub, node, _, given in groups_of(batches):
+            x, y, less = thinned_edges(len(node), near_edges(*given))
+            a, b, left = np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.zeros(len(x), bool)
+            if less:  # a row that names the group
+                a, b, left = np.r_[a, key], np.r_[b, sub], np.r_[left, True]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left)], ["a", "b", "left"])
+
+    def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, node, root, given in groups_of(batches):
+            for x, y, _ in near_edges(*given, root=root):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,8 +348,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             b = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("xa"), F.col("t").alias("ta")), F.col("ia") == F.col("xa")).join(texts.select(F.col("id").alias("xb"), F.col("t").alias("tb")), F.col("ib") == F.col("xb")).select("a", "b", "ta", "tb")
-    linked = connected_components(both.mapInArrow(verify, "a long, b long")).withColumnRenamed("node", "n")
+    named = nodes.select(F.col("node").alias("n"), F.col("id").alias("i"))
+
+    def verified(found: DataFrame) -> DataFrame:
+        pairs = cut(found.join(named, F.col("a") == F.col("n")).select("a", "b", F.col("i").alias("ia")).join(named, F.col("b") == F.col("n")).select("a", "b", "ia", F.col("i").alias("ib")), small=True)
+        texts = taking_part(df, pairs.select(F.col("ia").alias("id")).union(pairs.select("ib")), id_col, text_col)
+        both = pairs.join(texts.select(F.col("id").alias("xa"), F.col("t").alias("ta")), F.col("ia") == F.col("xa")).join(texts.select(F.col("id").alias("xb"), F.col("t").alias("tb")), F.col("ib") == F.col("xb")).select("a", "b", "ta", "tb")
+        return both.mapInArrow(verify, "a long, b long")
+
+    n = shuffle_partitions(spark)
+    found = cut(dealt.withColumn("root", F.col("node")).repartition(n, "key", "sub").mapInArrow(compare, "a long, b long, left boolean").distinct(), small=True)
+    linked = connected_components(verified(found.filter("not left").select("a", "b")))
+    thin = found.filter("left").select(F.col("a").alias("k"), F.col("b").alias("s"))
+    if not thin.isEmpty():
+        linked = cut(linked, small=True)
+        rest = dealt.join(F.broadcast(thin), (F.col("key") == F.col("k")) & (F.col("sub") == F.col("s")), "left_semi")
+        rest = rest.join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").drop("n").withColumn("root", F.coalesce("root", "node"))
+        more = rest.repartition(n, "key", "sub").mapInArrow(compare_rest, "a long, b long").distinct().join(found.filter("not left"), ["a", "b"], "left_anti")
+        linked = connected_components(verified(more).union(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    linked = linked.withColumnRenamed("node", "n")
     labelled = nodes.join(linked, F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("root", "node").alias("r"))
     groups = labelled.groupBy("r").agg(F.min("id").alias("group_id")).withColumnRenamed("r", "g")
     of = labelled.join(groups, F.col("r") == F.col("g")).select(F.col("node").alias("n"), "group_id")

@@ -167,3 +167,31 @@ def test_spanning_edges_connect_the_same_parts():
     assert len(keep) < 150 and (local_components(60, x[keep], y[keep]) == local_components(60, x, y)).all()
     kept = simhash.thinned(60, np.tile(x, 2), np.tile(y, 2), np.tile(d, 2))
     assert len(kept) < 800 and (local_components(60, np.tile(x, 2)[kept], np.tile(y, 2)[kept]) == local_components(60, x, y)).all()
+
+
+def test_near_duplicates_among_close_templates(spark):
+    rng = np.random.default_rng(8)
+    base = words(77, 300).split()
+    rows = []
+    for i in range(120):  # each text differs from all others of the template beyond the similarity, but for its own copy
+        ws = list(base)
+        for k in rng.choice(58, 7, replace=False):
+            ws[5 * k] = f"page{i}x{k}"
+        rows.append((i, " ".join(ws)))
+        if i % 4 == 0:
+            for k in rng.choice(58, 4, replace=False):
+                ws[5 * k + 2] = f"copy{i}x{k}"
+            rows.append((1000 + i, " ".join(ws)))
+    want = plain_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df, radius=40).collect()}
+    assert len(set(want)) > 60 and [got[i] for i, _ in rows] == want
+
+
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (1, 40, 700, 5000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64)
+        y = np.r_[x[n // 5 :], rng.integers(0, 2**63, n // 4 + 1).astype(np.uint64)]
+        f = simhash.folded([simhash.parity_sketch(x), simhash.parity_sketch(y)])
+        assert 0 < np.bitwise_count(f[0] ^ f[1]).sum() <= len(np.setxor1d(x, y)) and not np.bitwise_count(f[0] ^ simhash.folded([simhash.parity_sketch(x)] * 2)[0]).sum() * (len(simhash.parity_sketch(x)) == f.shape[1] * 8)
