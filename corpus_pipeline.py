@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import checkpoint_dir, documents
+from corvane.llm.common import checkpoint_dir, cut, documents
 from corvane.llm.crf_quality import THRESHOLD, add_score, train
 from corvane.llm.line_dedup import line_dedup
 from corvane.llm.mixing import mix
@@ -34,9 +34,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike (five words, similarity 0.8) the document with the smallest id stays; a document without an id stays."""
-    found = near_duplicates(docs).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of texts alike (five words, similarity 0.8) one row with the smallest id stays; a document without an id stays.
+
+    Rows are told apart by id and a hash of the text, so of an id that stands with several texts only those that are alike go; of equal rows one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = near_duplicates(keyed, key_col="__key").filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__gone")).agg(F.min("first").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    found = cut(rows.filter("not __first or __n > 1"), small=True)
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__gone"))
+    out = keyed.join(found, same, "left_anti")
+    repeated = found.filter("__first")
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return out.select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

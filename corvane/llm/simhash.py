@@ -271,7 +271,15 @@ def thinned_edges(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     return x[keep], y[keep], less or len(keep) < len(x)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+MASK = (1 << 64) - 1
+
+
+def word_digest(text: bytes) -> int:
+    """XXH64 of a text's words, A-Z lower-cased."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, key_col: str | None = None) -> DataFrame:
     """(id, group_id) of all rows: group_id is the smallest id among texts that are alike, the id itself for others.
 
     Texts are alike if the Jaccard similarity of their sets of word shingles reaches ``similarity``. Fingerprints
@@ -284,7 +292,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts equal in words are one node. A null id is no one's group: such rows keep a null group unless their text equals
     that of a row with an id. Null text counts as empty; texts without words are alike. Rows repeating an id count by each of
-    their texts. An empty table gives an empty result. Other columns are not carried.
+    their texts. An empty table gives an empty result. Other columns are not carried, but for
+    ``key_col`` (a long that tells the texts of one id apart) if given; then ``first`` is whether the row has the smallest (id, key) of its group.
     """
     spark = df.sparkSession
 
@@ -296,12 +305,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fp.append(simhash(h))
                 size.append(len(h))
                 sketches.append(parity_sketch(h))
-                same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketches, pa.binary())], ["id", "node", "fp", "size", "sketch"])
+                same.append(word_digest(t))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketches, pa.binary())], ["id", "row_key", "node", "fp", "size", "sketch"])
 
-    plain = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
-    rows = cut(plain.mapInArrow(sketch, "id long, node long, fp long, size long, sketch binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), small=True)
+    plain = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"), (F.col(key_col).cast("long") if key_col else F.lit(0).cast("long")).alias("row_key"))
+    rows = cut(plain.mapInArrow(sketch, "id long, row_key long, node long, fp long, size long, sketch binary"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))).alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), small=True)
     step = -float(np.log(similarity))
     classed = nodes.filter("size > 0 and id is not null").withColumn("class", F.floor(F.ln("size") / step).cast("long"))
     spots = classed.select("node", "fp", "size", "sketch", F.explode(F.array(F.struct(F.col("class").alias("key"), F.lit(False).alias("upper")), F.struct((F.col("class") - 1).alias("key"), F.lit(True).alias("upper")))).alias("s")).select("node", "fp", "size", "sketch", "s.*")
@@ -341,7 +350,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for na, nb, ta, tb in zip(*(c.to_pylist() for c in b.columns)):
+                if (word_digest(ta) - na) & MASK or (word_digest(tb) - nb) & MASK:  # another text of the same id
+                    keep.append(False)
+                    continue
                 x, y = (np.unique(shingle_hashes(t, shingle)) for t in (ta, tb))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
@@ -367,7 +379,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = rest.repartition(n, "key", "sub").mapInArrow(compare_rest, "a long, b long").distinct().join(found.filter("not left"), ["a", "b"], "left_anti")
         linked = connected_components(verified(more).union(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     linked = linked.withColumnRenamed("node", "n")
-    labelled = nodes.join(linked, F.col("node") == F.col("n"), "left").select("node", "id", F.coalesce("root", "node").alias("r"))
-    groups = labelled.groupBy("r").agg(F.min("id").alias("group_id")).withColumnRenamed("r", "g")
-    of = labelled.join(groups, F.col("r") == F.col("g")).select(F.col("node").alias("n"), "group_id")
-    return rows.join(of, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "group_id")
+    labelled = nodes.join(linked, F.col("node") == F.col("n"), "left").select("node", "id", "least", F.coalesce("root", "node").alias("r"))
+    groups = labelled.groupBy("r").agg(F.min("id").alias("group_id"), F.min("least").alias("lowest")).withColumnRenamed("r", "g")
+    of = labelled.join(groups, F.col("r") == F.col("g")).select(F.col("node").alias("n"), "group_id", "lowest")
+    return rows.join(of, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "group_id", *([F.col("row_key").alias(key_col), (F.struct("id", "row_key") == F.col("lowest")).alias("first")] if key_col else []))

@@ -83,3 +83,11 @@ def test_mix_repeats_documents(spark):
     docs = spark.createDataFrame([(i, "a b c", "en", "s", 5) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
     out = pipeline.mix_stage(spark, docs, "")
     assert out.count() == 60 and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_near_copies_go_by_row(spark):
+    text = lambda name, odd=None: " ".join("odd" if i == odd else f"{name}{i}" for i in range(300))
+    rows = [(1, text("a")), (5, text("a", 150)), (5, text("b")), (5, text("c")), (6, text("b", 40)), (7, text("d")), (7, text("d")), (8, text("d", 9)), (9, text("e")), (None, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.simhash_stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, text("a")), (5, text("b")), (5, text("c")), (7, text("d")), (9, text("e")), (None, text("f"))], key=repr)
