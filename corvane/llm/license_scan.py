@@ -85,25 +85,39 @@ RULES = [
 #: Every sentence above has one of these words; sentences without any are no candidates.
 TRIGGER = r"licen[cs]e|permission|copyright|software|liable|redistribut|endorse|gpl|mozilla|cc|creative commons|program|rights reserved"
 SPLIT = r"[.!?]+[ \t\r\f\n]+|\n"
-_trigger, _split, _other = re.compile(TRIGGER), re.compile(SPLIT), re.compile(r"[^a-z0-9.+]+")
+_trigger, _ends, _blank, _other = re.compile(TRIGGER), re.compile(r"[.!?]+[ \t\r\f\n]+"), re.compile(r"\n(?:[^a-z0-9\n]*\n)+"), re.compile(r"[^a-z0-9.+]+")
 _known = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _lower = {c: c + 32 for c in range(65, 91)}
 _steps = [("".join(f"[{s}]" for s in sequence.split()), f"{{{licence}}}") for licence, sequence in RULES]
 
 
+def _known_as(s: str) -> list[str]:
+    if not _trigger.search(s):
+        return []
+    s = _other.sub(" ", s).strip(" .")
+    return next(([name] for name, pattern in _known if pattern.fullmatch(s)), [])
+
+
 def sentence_ids(text: str) -> list[str]:
     """Identifiers of the licence sentences of a text, in order.
 
     A sentence is lower-cased (A-Z), runs of anything but letters, digits, dot and plus become a space, and spaces and dots at its ends go.
+    Sentences end at . ! ? and blank lines. The lines of one stand for themselves if any is known; else they are joined; if that is not known and
+    a paragraph ends without a stop (an address may follow), joined with the start of the next paragraph.
     """
     folded = text.translate(_lower)
     if not _trigger.search(folded):
         return []
-    out = []
-    for s in _split.split(folded):
-        if _trigger.search(s):
-            s = _other.sub(" ", s).strip(" .")
-            out += next(([name] for name, pattern in _known if pattern.fullmatch(s)), [])
+    out, paragraphs = [], [_ends.split(p) for p in _blank.split(folded)]
+    for k, sentences in enumerate(paragraphs):
+        for i, s in enumerate(sentences):
+            lines = s.split("\n")
+            found = [x for line in lines for x in _known_as(line)]
+            if not found and len(lines) > 1:
+                found = _known_as(s)
+            if not found and i == len(sentences) - 1 and k + 1 < len(paragraphs) and s.rstrip()[-1:] not in (*".!?", ""):
+                found = _known_as(f"{s} {paragraphs[k + 1][0]}") if not any(_known_as(x) for x in (paragraphs[k + 1][0], *paragraphs[k + 1][0].split("\n"))) else []
+            out += found
     return out
 
 

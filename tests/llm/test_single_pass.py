@@ -196,3 +196,16 @@ def test_stored_texts_come_back(spark):
     for r in got:
         by.setdefault((r.payload_sha256, r.n_bytes), set()).add((r.media_sha256, r.media_bytes, r.feature))
     assert all(len(v) == 1 for v in by.values()) and telephony.describe(telephony.store_text(empty(spark))).count() == 0
+
+
+def test_hard_wrapped_licences():
+    import textwrap
+
+    mit = ["MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.']
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation.", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING THOSE OF FITNESS, ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DAMAGES.']
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "    http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.']
+    for want, paragraphs in (("MIT", mit), ("BSD-2-Clause", bsd), ("Apache-2.0", apache)):
+        for width in (50, 72, 80, 500):
+            for prefix in ("", "# ", " * "):
+                lines = [line for p in paragraphs for line in [*textwrap.wrap(p, width), ""]]
+                assert license_scan.licences(license_scan.sentence_ids("\n".join(prefix + x for x in lines))) == ([want], []), (want, width, prefix)
