@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,19 @@ def cut(df: DataFrame, small: bool = False) -> DataFrame:
     return (df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism)) if small else df).checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder. Unlike a checkpoint, the table read again holds on to nothing, so that :func:`release` can let go of the shuffle files it came from."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files whose tables nothing refers to any more: Spark removes them once the driver collects what refers to them. Only disk is saved."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents", spread: bool = False) -> DataFrame:
     return table(spark, sf_dir, name, spread)
 
