@@ -11,9 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 0x11
+PCM, A_LAW, MU_LAW, IMA_ADPCM, EXTENSIBLE = 1, 6, 7, 0x11, 0xFFFE
 UNIT = 64
+#: Bytes of media that a task handles at once, or one longer file.
+LOT = 1 << 21
 
 
 def mu_law_table() -> np.ndarray:
@@ -76,11 +79,12 @@ def _ima_blocks(b: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_ima(pcm: np.ndarray, block: int = 256) -> bytes:
-    """Mono IMA ADPCM of int16 samples, the last block filled up with its last sample."""
+def encode_ima(texts: list[np.ndarray], block: int = 256) -> bytes:
+    """Mono IMA ADPCM of int16 samples, one series after the other, each in blocks of its own, the last filled up with its last sample. All blocks step by step together."""
     per = (block - 4) * 2 + 1
-    n = -(-max(len(pcm), 1) // per)
-    x = np.concatenate([pcm, np.full(n * per - len(pcm), pcm[-1] if len(pcm) else 0, np.int16)]).astype(np.int64).reshape(n, per)
+    filled = [np.concatenate([x, np.full(-len(x) % per if len(x) else per, x[-1] if len(x) else 0, np.int16)]) for x in texts]
+    x = np.concatenate(filled).astype(np.int64).reshape(-1, per) if filled else np.empty((0, per), np.int64)
+    n = len(x)
     # each block starts at the step size that its first move needs
     value, index = x[:, 0].copy(), np.clip(np.searchsorted(STEPS, np.abs(x[:, 1] - x[:, 0])), 0, 88)
     out = np.zeros((n, block), np.uint8)
@@ -111,38 +115,63 @@ def wave(data: bytes, form: int = MU_LAW, rate: int = 8000, block: int = 256) ->
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wave(media: bytes) -> tuple[int, int, int, bytes]:
-    """(form, rate, block, data) of a mono WAVE file; unknown chunks are passed over."""
+def read_wave(media: bytes) -> tuple[int, int, int, int, int, bytes]:
+    """(form, channels, rate, block, bits, data) of a WAVE file; unknown chunks are passed over, the extensible form gives the form inside. What is no such file is a ValueError."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, form = 12, None
     while at + 8 <= len(media):
         size = struct.unpack_from("<I", media, at + 4)[0]
         if media[at : at + 4] == b"fmt ":
-            form, _, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if size < 16 or at + 24 > len(media):
+                raise ValueError("short format chunk")
+            form, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            if form == EXTENSIBLE and at + 34 <= len(media):
+                form = struct.unpack_from("<H", media, at + 32)[0]
         elif media[at : at + 4] == b"data" and form is not None:
-            return form, rate, block, media[at + 8 : at + 8 + size]
+            if not channels or not rate:
+                raise ValueError("no channels or no rate")
+            return form, channels, rate, block, bits, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no data chunk")
 
 
 def decode(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, int16 samples) of a WAVE file in any of the four forms."""
-    form, rate, block, data = read_wave(media)
-    if form in (MU_LAW, A_LAW):
-        return rate, (MU if form == MU_LAW else A)[np.frombuffer(data, np.uint8)]
-    return rate, decode_ima(data, block) if form == IMA_ADPCM else np.frombuffer(data[: len(data) & ~1], "<i2")
+    """(rate, int16 samples) of a WAVE file: mu-law, A-law, PCM of 8, 16, 24 or 32 bits, of which the upper 16 stay, or mono IMA ADPCM. Channels are averaged. Any other form is a ValueError."""
+    form, channels, rate, block, bits, data = read_wave(media)
+    if form in (MU_LAW, A_LAW) and bits == 8:
+        x = (MU if form == MU_LAW else A)[np.frombuffer(data, np.uint8)]
+    elif form == IMA_ADPCM:
+        if channels != 1 or block < 5:
+            raise ValueError(f"IMA ADPCM of {channels} channels in blocks of {block}")
+        return rate, decode_ima(data, block)
+    elif form == PCM and bits == 8:
+        x = ((np.frombuffer(data, np.uint8).astype(np.int16) - 128) << 8).astype(np.int16)
+    elif form == PCM and bits in (16, 24, 32):
+        wide = bits // 8
+        x = np.frombuffer(data, np.uint8, len(data) // wide * wide).reshape(-1, wide)[:, -2:].copy().view("<i2")[:, 0]
+    else:
+        raise ValueError(f"form {form} of {bits} bits")
+    if channels > 1:
+        x = np.rint(x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)).astype(np.int16)
+    return rate, x
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation to another rate, int16."""
+    """Linear interpolation to another rate, int16; on the way down after a low-pass filter (a windowed sinc) at half the new rate."""
     if rate == to or not len(x):
         return x
     if to == 2 * rate:
         mid = (x.astype(np.int32) + np.append(x[1:], x[-1:]).astype(np.int32)) >> 1
         return np.stack([x, mid.astype(np.int16)], axis=1).ravel()
+    y = x.astype(float)
+    if to < rate:
+        k = np.arange(-(8 * rate // to), 8 * rate // to + 1)
+        filter_ = np.sinc(k * to / rate) * np.hanning(len(k) + 2)[1:-1]
+        edge = len(k) // 2
+        y = np.convolve(np.pad(y, edge, mode="edge"), filter_ / filter_.sum(), "valid")
     at = np.arange(-(-len(x) * to // rate)) * (rate / to)
-    return np.rint(np.interp(at, np.arange(len(x)), x)).astype(np.int16)
+    return np.clip(np.rint(np.interp(at, np.arange(len(y)), y)), -32768, 32767).astype(np.int16)
 
 
 def payload(text: bytes) -> bytes:
@@ -165,46 +194,77 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.mapInArrow(run, f"id {dict(plain.dtypes)['id']}, n_bytes long, media binary")
 
 
-def samples(df: DataFrame, media_col: str = "media", rate: int = 16000) -> DataFrame:
-    """The input with ``pcm`` added: each WAVE column decoded, resampled and stored as a PCM WAVE file. Null or broken media give null."""
-    names = df.columns
+def samples(df: DataFrame, media_col: str = "media", rate: int = 16000, out_col: str = "pcm", reason_col: str = "pcm_reason") -> DataFrame:
+    """The input with each WAVE column decoded, resampled and stored as a mono PCM WAVE file in ``out_col``; broken media and unknown forms give null there and why in ``reason_col``.
+
+    Null media give null in both. Columns of these two names are replaced; all others, ties and repeated rows pass through.
+    """
+    kept = [c for c in df.columns if c not in (out_col, reason_col)]
+    plain = df.select(*[F.col(f"`{c}`") for c in kept])
+    at = kept.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for m in b.column(names.index(media_col)).to_pylist():
+            out, why = [], []
+            for m in b.column(at).to_pylist():
                 try:
-                    have, x = decode(m or b"")
-                    out.append(wave(resample(x, have, rate).astype("<i2").tobytes(), PCM, rate))
-                except (ValueError, struct.error):
+                    have, x = decode(m) if m is not None else (rate, None)
+                    out.append(None if x is None else wave(resample(x, have, rate).astype("<i2").tobytes(), PCM, rate))
+                    why.append(None)
+                except (ValueError, struct.error) as error:
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, "pcm"])
+                    why.append(str(error))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(why, pa.string())], [*kept, out_col, reason_col])
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out_col, T.BinaryType()), T.StructField(reason_col, T.StringType())]))
 
-    from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pcm", T.BinaryType())]))
+def feature(pcm: np.ndarray, error: np.ndarray) -> str:
+    """Samples, peak, root mean square and zero crossings of the resampled audio, and the mean absolute error that ADPCM leaves, all from integers."""
+    wide = pcm.astype(np.int64)
+    rms = int(np.sqrt(int(np.dot(wide, wide)) / max(len(pcm), 1)))
+    sign = np.signbit(pcm)
+    return f"n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};rms={rms};zc={int(np.count_nonzero(sign[1:] != sign[:-1]))};ima={int(np.abs(error).sum()) // max(len(error), 1)}"
 
 
-def feature(media: bytes, rate: int = 16000) -> str:
-    """Duration, peak, root mean square and zero crossings of the decoded, resampled audio, all from integers."""
-    have, x = decode(media)
-    x = resample(x, have, rate)
-    wide = x.astype(np.int64)
-    rms = int(np.sqrt(int(np.dot(wide, wide)) / max(len(x), 1)))
-    sign = np.signbit(x)
-    return f"n={len(x)};peak={int(np.abs(wide).max(initial=0))};rms={rms};zc={int(np.count_nonzero(sign[1:] != sign[:-1]))}"
+def describe(df: DataFrame, rate: int = 16000, block: int = 256) -> DataFrame:
+    """Digest of stored media (id, n_bytes, media), all read back from the stored bytes.
 
+    The codes are expanded by the mu-law table, resampled and stored as PCM; they are also stored as IMA ADPCM, whose blocks, those of many texts together, are decoded again. ``feature`` tells of both.
+    Null ids and repeated rows stay; other columns are not carried.
+    """
+    per = (block - 4) * 2 + 1
 
-def describe(df: DataFrame) -> DataFrame:
-    """Digest of stored media (id, n_bytes, media), all read back from the stored bytes."""
+    def lots(media: list[bytes]) -> Iterator[tuple[int, int]]:
+        low = size = 0
+        for i, m in enumerate(media):
+            size += len(m)
+            if size > LOT:
+                yield low, i + 1
+                low, size = i + 1, 0
+        if low < len(media):
+            yield low, len(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = b.column(2).to_pylist()
-            data = [read_wave(m)[3] for m in media]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]), pa.array([zlib.crc32(d[-UNIT:]) for d in data], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([feature(m) for m in media]),
-            ], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for low, high in lots(b.column(2).to_pylist()):
+                part = b.slice(low, high - low)
+                media = part.column(2).to_pylist()
+                data = [read_wave(m)[5] for m in media]
+                speech = [decode(m)[1] for m in media]
+                stored = [wave(resample(x, 8000, rate).astype("<i2").tobytes(), PCM, rate) for x in speech]
+                blocks = [-(-max(len(x), 1) // per) for x in speech]
+                coded = encode_ima(speech, block)
+                cuts = np.cumsum([0, *blocks])
+                files = [wave(coded[cuts[i] * block : cuts[i + 1] * block], IMA_ADPCM, 8000, block) for i in range(len(speech))]
+                again = decode_ima(b"".join(read_wave(f)[5] for f in files), block)
+                errors = [again[cuts[i] * per : cuts[i] * per + len(x)].astype(np.int64) - x for i, x in enumerate(speech)]
+                sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
+                size = lambda xs: pa.array([len(x) for x in xs], pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), size(data), sha(data), pa.array([zlib.crc32(d[-UNIT:]) for d in data], pa.int64()), size(media), sha(media),
+                    pa.array([feature(decode(m)[1], e) for m, e in zip(stored, errors)]), size(stored), sha(stored), size(files), sha(files),
+                ], [x.split()[0] for x in names.split(", ")])
+
+    names = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, adpcm_bytes long, adpcm_sha256 string"
+    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}" + names.removeprefix("id long"))

@@ -2,7 +2,11 @@
 
 import hashlib
 import os
+import pathlib
+import re
+import time
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -23,7 +27,7 @@ def test_licence_rules():
     assert found("This work is licensed under the GNU General Public License, version 3.") == (["GPL-3.0"], [])
     assert found("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.") == (["Apache-2.0", "MIT"], [])
     assert found("All rights reserved.") == ([], ["all-rights"]) and found("SPDX-License-Identifier: BSD-3-Clause") == (["BSD-3-Clause"], [])
-    assert found("The driver needs a licence and a program.") == ([], []) and found("GNU Lesser General Public License is here") == ([], [])
+    assert found("The driver needs a licence and a program.") == ([], []) and found("GNU Lesser General Public License is here") == (["LGPL"], [])
     assert found("Redistribution and use in source and binary forms, with or without modification, are permitted provided so. Redistributions of source code must retain the above copyright notice, this list. Redistributions in binary form must reproduce the above copyright notice too. This software is provided by the authors \"as is\" and any express or implied warranties are disclaimed.") == (["BSD-2-Clause"], [])
 
 
@@ -165,26 +169,78 @@ def test_ima_blocks_match_one_by_one():
     data = random.Random(2).randbytes(256 * 5 + 37)
     assert telephony.decode_ima(data, 256).tolist() == plain(data, 256)
     x = (9000 * np.sin(np.arange(3000) / 9)).astype(np.int16)
-    back = telephony.decode(telephony.wave(telephony.encode_ima(x), telephony.IMA_ADPCM))[1][: len(x)]
+    back = telephony.decode(telephony.wave(telephony.encode_ima([x]), telephony.IMA_ADPCM))[1][: len(x)]
     assert np.abs(back.astype(int) - x).max() < 600
 
 
 def test_containers_and_resampling(spark):
     for form, data in ((telephony.MU_LAW, b"\1\2\3"), (telephony.A_LAW, b""), (telephony.PCM, b"\0\1\2\3")):
         got = telephony.read_wave(telephony.wave(data, form))
-        assert got[0] == form and got[3] == data
+        assert got[0] == form and got[5] == data
     x = np.array([0, 100, 50], np.int16)
     assert telephony.resample(x, 8000, 16000).tolist() == [0, 50, 100, 75, 50, 50] and len(telephony.resample(x, 8000, 4000)) == 2
     df = telephony.samples(telephony.store_text(messy(spark)).unionByName(spark.createDataFrame([(77, 0, b"junk"), (78, 0, None)], "id long, n_bytes long, media binary")))
     bad = {r.id: r.pcm for r in df.collect()}
-    assert bad[77] is None and bad[78] is None and telephony.read_wave(bytes(bad[1]))[1] == 16000
+    assert bad[77] is None and bad[78] is None and telephony.read_wave(bytes(bad[1]))[2] == 16000
+
+
+def wave_of(form, channels, rate, block, bits, data, extensible=False):
+    fmt = struct.pack("<HHIIHH", 0xFFFE if extensible else form, channels, rate, rate * block, block, bits)
+    fmt += struct.pack("<HHIH14x", 22, bits, 0, form) if extensible else b""
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_forms_of_wave_files(spark):
+    pcm = [0, 1000, -1000, 32767, -32768, 17]
+    good = {
+        "stereo": wave_of(1, 2, 8000, 4, 16, np.array([[x, x // 2] for x in pcm], "<i2").tobytes()),
+        "8 bits": wave_of(1, 1, 8000, 1, 8, bytes([128, 255, 0])),
+        "24 bits": wave_of(1, 1, 8000, 3, 24, b"".join((x * 256 + 99).to_bytes(3, "little", signed=True) for x in pcm)),
+        "32 bits": wave_of(1, 1, 8000, 4, 32, b"".join((x * 65536 + 9).to_bytes(4, "little", signed=True) for x in pcm), True),
+    }
+    assert telephony.decode(good["stereo"])[1].tolist() == [round((x + x // 2) / 2) for x in pcm]
+    assert telephony.decode(good["8 bits"])[1].tolist() == [0, 127 * 256, -32768] and telephony.decode(good["24 bits"])[1].tolist() == pcm == telephony.decode(good["32 bits"])[1].tolist()
+    bad = {
+        "MS ADPCM": wave_of(2, 1, 8000, 256, 4, b"\0" * 512), "float": wave_of(3, 1, 8000, 4, 32, b"\0" * 8), "rate 0": wave_of(7, 1, 0, 1, 8, b"abc"), "no channel": wave_of(1, 0, 8000, 2, 16, b"ab"),
+        "block 0": wave_of(0x11, 1, 8000, 0, 4, b"abcd"), "stereo ADPCM": wave_of(0x11, 2, 8000, 256, 4, b"\0" * 256), "cut": good["stereo"][:30], "no data": good["stereo"][:50], "12 bits": wave_of(1, 1, 8000, 2, 12, b"abcd"),
+    }
+    rows = [(k, v, "mine") for k, v in (good | bad).items()] + [("null", None, "mine")]
+    out = {r.name: r for r in telephony.samples(spark.createDataFrame(rows, "name string, media binary, pcm string"), rate=8000).collect()}
+    assert out["null"].pcm is None and out["null"].pcm_reason is None and len(out["null"]) == 4
+    assert all(out[k].pcm_reason is None and telephony.decode(bytes(out[k].pcm))[0] == 8000 for k in good) and all(out[k].pcm is None and out[k].pcm_reason for k in bad)
+
+
+def test_resampling_down_keeps_out_what_the_new_rate_cannot_hold():
+    t = np.arange(8000)
+    low, high = (9000 * np.sin(t * 2 * np.pi * hz / 16000) for hz in (440, 7000))
+    down = telephony.resample((low + high).astype(np.int16), 16000, 8000)
+    assert len(down) == 4000 and np.abs(down - low[::2])[100:-100].max() < 400
+
+
+def test_feature_by_brute_force(spark):
+    texts = ["", "a", "Telephony \u00e9 \U0001f600 " * 40, "x" * 1500]
+    got = {r.id: r for r in telephony.describe(telephony.store_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        data = text.encode() + b"\0" * (-len(text.encode()) % 64 if text else 64)
+        law = lambda u: (lambda v: -(((v & 15) << 3) + 132 << ((v & 112) >> 4)) + 132 if v & 128 else (((v & 15) << 3) + 132 << ((v & 112) >> 4)) - 132)(~u & 255)
+        x = [law(u) for u in data]
+        wide = [v for k, a in enumerate(x) for v in (a, (a + x[min(k + 1, len(x) - 1)]) >> 1)]
+        back = []
+        for at in range(0, len(x), 505):
+            part = x[at : at + 505]
+            full = part + [part[-1]] * (505 - len(part))
+            back += telephony.decode_ima(telephony.encode_ima([np.array(full, np.int16)]), 256).tolist()[: len(part)]
+        rms, zc = int(np.sqrt(sum(v * v for v in wide) / len(wide))), sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+        assert got[i].feature == f"n={len(wide)};peak={max(map(abs, wide))};rms={rms};zc={zc};ima={sum(abs(a - b) for a, b in zip(x, back)) // len(x)}"
+        assert got[i].pcm_bytes == 44 + 4 * len(data) and got[i].adpcm_bytes == 60 - 12 + 256 * -(-len(data) // 505)
 
 
 def test_stored_texts_come_back(spark):
     df = messy(spark)
     stored = telephony.store_text(df)
     for r in stored.collect():
-        assert len(telephony.read_wave(bytes(r.media))[3]) % 64 == 0
+        assert len(telephony.read_wave(bytes(r.media))[5]) % 64 == 0
     texts = sorted((r.text or "").encode() for r in df.collect())
     got = telephony.describe(stored).collect()
     want = []
@@ -209,3 +265,77 @@ def test_hard_wrapped_licences():
             for prefix in ("", "# ", " * "):
                 lines = [line for p in paragraphs for line in [*textwrap.wrap(p, width), ""]]
                 assert license_scan.licences(license_scan.sentence_ids("\n".join(prefix + x for x in lines))) == ([want], []), (want, width, prefix)
+
+
+GNU = """This {it} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
+
+This {it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the {name} for more details.
+
+You should have received a copy of the {name} along with this {it}; if not, see <https://www.gnu.org/licenses/>.
+"""
+ISC = """Copyright (c) 2020, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER.
+"""
+BSD_3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES.
+"""
+NOTICES = [
+    ("GPL-2.0", GNU.format(it="program", name="GNU General Public License", version=2)), ("GPL-3.0", GNU.format(it="program", name="GNU General Public License", version=3)),
+    ("LGPL-2.1", GNU.format(it="library", name="GNU Lesser General Public License", version="2.1")), ("LGPL-3.0", GNU.format(it="library", name="GNU Lesser General Public License", version=3)),
+    ("AGPL-3.0", GNU.format(it="program", name="GNU Affero General Public License", version=3)), ("ISC", ISC), ("BSD-3-Clause", BSD_3),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.\n"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.\n"),
+]
+
+
+def test_notices_wrapped_in_any_way():
+    import textwrap
+
+    for want, text in NOTICES:
+        for width in (40, 72, 2000):
+            for prefix in ("", "# ", " * ", "// "):
+                lines = [line for p in text.split("\n\n") for line in [*textwrap.wrap(p, width), ""]]
+                found, rest = license_scan.licences(license_scan.sentence_ids("\n".join((prefix + x).rstrip() for x in lines)))
+                assert found == [want] and not rest, (want, width, prefix, found, rest)
+
+
+@pytest.mark.parametrize("name, want", [("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("MPL-1.1", "MPL-1.1"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3"), ("Artistic", "Artistic")])
+def test_full_texts(name, want):
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no licence texts here")
+    found, _ = license_scan.licences(license_scan.sentence_ids(path.read_text()))
+    assert want in found
+
+
+def test_every_sentence_has_a_trigger_and_long_lines_are_linear():
+    assert all(re.search(license_scan.TRIGGER, " ".join(p) + " ") for _, _, p in license_scan.SENTENCES)
+    assert {s for _, run in license_scan.RULES for s in run.split()} <= {s for s, _, _ in license_scan.SENTENCES}
+    began = time.perf_counter()
+    for line in ("released under the gpl gnu license ", "gnu general public license ", "neither the name cc by "):
+        license_scan.sentence_ids(line * (1_000_000 // len(line)))
+    assert time.perf_counter() - began < 3
+
+
+def test_licence_sql_on_wrapped_texts(spark, tmp_path):
+    import duckdb
+    import textwrap
+
+    texts = [*(t for _, t in NOTICES), *("\n".join(textwrap.wrap(t, 60)) for _, t in NOTICES), MIT, *("\n".join("# " + x for x in textwrap.wrap(t, 50)) for _, t in NOTICES), "Licensed under CC BY-SA 4.0. SPDX-License-Identifier: LGPL-2.1-only\nAll rights\nreserved.", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, license_scan.scan(df).collect()))
+    c = duckdb.connect()
+    frame = df.toPandas()
+    c.register("documents", frame)
+    assert got == sorted(c.execute(license_scan.LICENSE_SQL).fetchall())
