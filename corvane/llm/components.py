@@ -34,18 +34,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps, in which each node hands its neighbours its
     smallest neighbour, until the edges are stars. No node's neighbours are gathered; each
     round's edges are cut with a checkpoint; the driver sees one count and one checksum a round. Only
-    nodes that have edges appear. Null ends and loops are ignored.
+    nodes that have edges appear. Null ends and loops are ignored. Not to be done after ``most_rounds`` is an error.
     """
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), small=True)
     state = lambda: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = state()
-    for _ in range(most_rounds if seen[0] else 0):
+    for done in range(most_rounds if seen[0] else 0):
         large = _with_least(e.union(e.select("b", "a")), seen[0]).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
         small = _with_least(large, seen[0])
         e = cut(small.select("a", "m").union(small.filter("b <> m").select("b", "m")).distinct().toDF("a", "b"), small=True)
         now = state()
         if now == seen:
             break
+        if done == most_rounds - 1:
+            raise RuntimeError(f"components are not found after {most_rounds} rounds")
         seen = now
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

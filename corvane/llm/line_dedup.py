@@ -42,7 +42,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Texts of fewer lines than the window, empty and null texts stay as they are. Null ids order
     last. Rows repeating both id and text count as one text. All other columns pass through;
-    ``counts`` names two added columns, or is None.
+    ``counts`` names two added columns, which replace columns of these names, or is None.
 
     Only hashes and positions are shuffled to find the windows; a window that a third of all rows
     hold is counted map-side, and its occurrences meet the single first one in a join that AQE
@@ -51,7 +51,14 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     keys = df.withColumn("__rk", row_key(id_col, text_col))
     cuts = repeated_lines(df, id_col, text_col, window).select(F.col("rk").alias("__ck"), F.col("positions").alias("__cut"))
     lines = _lines(F.col(text_col))
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__cut", i), x)), lambda x: x.isNotNull()), "\n")
+
+    def between(x):
+        """The lines between those to be cut, stretch by stretch: the work is that of the lines, not lines times cuts."""
+        stretch = lambda i: F.slice(x["lines"], F.get(x["edges"], i) + 2, F.get(x["edges"], i + 1) - F.get(x["edges"], i) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["edges"]) - 2), stretch)), "\n")
+
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort("__cut"), F.array(F.size(lines)))
+    kept = F.get(F.transform(F.array(F.struct(lines.alias("lines"), edges.alias("edges"))), between), F.lit(0))  # bound once
     out = keys.join(cuts, F.col("__rk") == F.col("__ck"), "left")
     if counts:
         out = out.withColumns({counts[0]: F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size(lines)).cast("long"), counts[1]: F.coalesce(F.size("__cut"), F.lit(0)).cast("long")})

@@ -11,8 +11,8 @@ from corvane.llm.common import WORD, cut
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
 #: Newton steps at most, and the relative error of a source's words at which they end.
 STEPS, CLOSE = 60, 1e-9
-#: Documents of a source that have the same size are ranked in so many hash cells.
-SALTS = 64
+#: Documents of one source and size that are ranked in one task, about: more are cut into hash cells, as many for each source and size.
+PER_CELL = 50_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -21,7 +21,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     Sources are ordered by code point, null last, and weigh ``weights`` in turn. They share
     ``share`` of all words by weight; none exceeds ``most`` times its size, and the excess is reshared by
     weight. That fixed point is the water level L with target = min(cap, weight * L), found
-    in order of cap / weight. Only this table, one row per source, is ordered as a whole.
+    in order of cap / weight. Only this table, one row per source, is ordered as a whole, in one task: sources are
+    named origins, some thousands at most, not one for each document.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -46,7 +47,7 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST, steps: int
     each step one aggregation of ``cells`` (source, size, n), the counts of documents by size. A step that
     leaves the bracket is halved. Sums are taken over decimals, so that they don't depend
     on the order of tasks. No table of documents and no table of sources reaches the driver: it sees
-    the number of sources that have not converged.
+    whether any source has not converged; not to converge in ``steps`` is an error.
     """
     z = F.col("size") / F.col("unit")
     base = (
@@ -62,9 +63,11 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST, steps: int
     )
     state = cut(base, small=True)
     exact = lambda x: F.sum(x.cast("decimal(38,12)")).cast("double")
-    for _ in range(steps):
+    for step in range(steps + 1):
         if not state.filter(~F.col("done")).limit(1).count():
             break
+        if step == steps:
+            raise RuntimeError(f"rates have not converged after {steps} Newton steps")
         s = state.filter(~F.col("done")).select(F.col("source").alias("s"), "unit", "lam")
         r = F.exp(F.least(F.col("lam") * z, F.log(F.lit(float(most)))))
         sums = cells.filter("size > 0").join(s, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(exact(F.col("n") * z * r).alias("g"), exact(F.when(F.col("lam") * z < F.log(F.lit(float(most))), F.col("n") * z * z * r).otherwise(0.0)).alias("hess"), F.first("unit").alias("u"))
@@ -92,15 +95,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     spread over all tasks. Nothing is random: reruns agree.
 
     A null source is a source of its own. Null and empty texts have size 0 and one copy, which takes
-    no words. Rows that repeat an id are separate documents. Null ids rank first in their cell. An
-    empty table gives an empty result.
+    no words. Rows that repeat an id are separate documents. Rows that agree in id, size and text rank in any order, which
+    changes nothing but the other columns that ``carry`` keeps. Null ids rank first in their cell. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = df.withColumns({"__src": F.col(source_col), "__id": F.col(id_col), "__size": size})
-    rows = rows.withColumn("__h", F.xxhash64(F.col("__id"), F.col("__size"))).withColumn("__salt", F.pmod(F.col("__h"), F.lit(SALTS)))
+    # rows that repeat an id and differ in their texts are told apart, so that no id fills a cell
+    rows = rows.withColumn("__h", F.xxhash64(F.col("__id"), F.col("__size"), F.col(text_col).cast("string")))
+    counted = lambda salt: cut(rows.groupBy(F.col("__src").alias("source"), F.col("__size").alias("size"), salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")), small=True)
+    whole = counted(F.lit(0).cast("long"))
+    salts = int(whole.agg(F.ceil(F.max("n") / PER_CELL)).first()[0] or 1)
+    rows = rows.withColumn("__salt", F.pmod(F.col("__h"), F.lit(salts)).cast("long"))
     narrow = rows.select("__src", "__id", "__size", "__h", "__salt") if not carry else rows
-    subcells = cut(narrow.groupBy(F.col("__src").alias("source"), F.col("__size").alias("size"), F.col("__salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")), small=True)
-    cells = subcells.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    subcells = whole if salts == 1 else counted(F.pmod(F.col("__h"), F.lit(salts)).cast("long"))
+    cells = whole.select("source", "size", "n")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     targets = cut(source_targets(sizes, weights, share, most), small=True)
     lam = balance(cells, targets, most)

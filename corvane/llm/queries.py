@@ -1,4 +1,8 @@
-"""The registered queries of the corpus operators: thin, whole-table, production parameters."""
+"""The registered queries of the corpus operators: thin, whole-table, production parameters.
+
+Each takes every row of its table; what it does with nulls, ties, repeated rows, empty tables and other columns is said in the docstring of the operator it calls: none fails on
+them, none carries columns of the table but the id, and rows that repeat an id are rows of the result.
+"""
 
 from __future__ import annotations
 

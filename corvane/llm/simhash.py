@@ -7,16 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, shuffle_partitions, taking_part
 from corvane.llm.components import connected_components, local_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Fingerprints in a tile; fingerprints of one block value above which its tile pairs are dealt to several tasks;
-#: fingerprints (each counted once a block) a task.
-TILE, HEAVY, PER_TASK = 1024, 16384, 400_000
+#: Fingerprints in a tile that is compared at once; in a tile that is dealt; fingerprints (each counted once a block) a task; rows of the table of dealt tiles that are broadcast at most.
+TILE, HEAVY, PER_TASK, BROADCAST_TILES = 256, 16384, 400_000, 500_000
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -43,7 +42,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp as a signed long; null text counts as empty."""
+    """(id, fp): fp as a signed long. Null text counts as empty; null ids, ties and repeated rows stay; other columns are not carried, so names never clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -54,23 +53,23 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return plain.mapInArrow(run, f"id {dict(plain.dtypes)['id']}, fp long")
 
 
-def tiled_links(fps: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (as two index arrays) of all pairs of fps within the radius.
+def tiled_links(fps: np.ndarray, radius: int, group: np.ndarray | None = None, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as two index arrays) of the pairs of fps within the radius: of all pairs in one group, and of some others.
 
-    Fingerprints stand in order of population count and are cut into tiles. Two tiles are compared
-    by exclusive-or and bit counts, unless their population counts differ by more than the radius, which bounds
-    the distance from below. Each tile pair is reduced to a forest at once.
+    Fingerprints stand in order of group and population count and are cut into tiles. Two tiles are compared by exclusive-or and bit counts, unless
+    they have no group in common or their population counts differ by more than the radius, which bounds the distance from below. Each tile pair is reduced to a forest at once.
     """
     pop = np.bitwise_count(fps)
-    order = np.argsort(pop, kind="stable")
-    f, p = fps[order], pop[order].astype(np.int16)
+    group = np.zeros(len(fps), np.int64) if group is None else group
+    order = np.lexsort((pop, group))
+    f, p, g = fps[order], pop[order].astype(np.int16), group[order]
     cuts = [*range(0, len(f), tile), len(f)]
     ends_a, ends_b = [], []
     for i in range(len(cuts) - 1):
         a0, a1 = cuts[i], cuts[i + 1]
         for j in range(i, len(cuts) - 1):
             b0, b1 = cuts[j], cuts[j + 1]
-            if p[b0] - p[a1 - 1] > radius:
+            if g[b0] > g[a1 - 1] or g[b0] == g[a1 - 1] and p[b0] - p[a1 - 1] > radius:
                 break
             near = np.bitwise_count(f[a0:a1, None] ^ f[None, b0:b1]) <= radius
             x, y = np.nonzero(near)
@@ -90,55 +89,59 @@ def tiled_links(fps: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndar
     return order[root[move]], order[move]
 
 
+def dealt_tiles(spots: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """spots (fp, key, pop) to (fp, key, sub), a row for each pair of tiles that a fingerprint takes part in, and the number of spots.
+
+    The fingerprints of one block value, in order of population count, are cut into tiles of HEAVY; equal counts are cut by a hash. Tile pairs whose
+    population counts differ by more than the radius are left out. Most values have one tile, which is compared with itself.
+    """
+    cells = cut(spots.groupBy("key", "pop").agg(F.count(F.lit(1)).alias("n")), small=True)
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    large = cells.join(cells.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > HEAVY).select("key"), "key", "left_semi")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("pop")) - F.col("n")
+    tiles = large.select("key", "pop", F.floor(before / HEAVY).cast("int").alias("low"), F.floor((before + F.col("n") - 1) / HEAVY).cast("int").alias("high"))
+    spans = tiles.select("key", "pop", F.explode(F.sequence("low", "high")).alias("tile")).groupBy("key", "tile").agg(F.min("pop").alias("from"), F.max("pop").alias("to"))
+    lists = spans.groupBy("key").agg(F.collect_list(F.struct("tile", "from", "to")).alias("tiles"))
+    tiles = cut(tiles.join(lists, "key").select(F.col("key").alias("k"), F.col("pop").alias("p"), "low", "high", "tiles"), small=True)
+    rows = tiles.count()
+    if not rows:
+        return spots.select("fp", "key", F.lit(0).alias("sub")), total
+    mine = F.col("low") + F.pmod(F.xxhash64("fp"), F.col("high") - F.col("low") + 1).cast("int")
+    joined = spots.join(F.broadcast(tiles) if rows <= BROADCAST_TILES else tiles, (F.col("key") == F.col("k")) & (F.col("pop") == F.col("p")), "left").withColumn("mine", mine)
+    own = F.get(F.filter("tiles", lambda t: t["tile"] == F.col("mine")), F.lit(0))
+    near = F.filter("tiles", lambda t: (t["from"] - own["to"] <= radius) & (own["from"] - t["to"] <= radius))
+    subs = F.transform(near, lambda t: F.least(F.col("mine"), t["tile"]) * F.lit(1 << 15) + F.greatest(F.col("mine"), t["tile"]))
+    return joined.select("fp", "key", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0))).otherwise(subs)).alias("sub")), total
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct (fp) to edges (a, b) that connect all fingerprints within the radius.
 
     Two fingerprints within the radius agree on one of radius + 1 blocks of bits, so comparing all
-    fingerprints that share a block's value, in tiles, misses no pair. The number of block
-    values is fixed; a value with more than HEAVY fingerprints is cut into parts, and each pair of parts is a group of
-    its own, so that no task gets an unbounded group. The list of such values is broadcast: it has
-    (radius + 1) * 2**16 entries at most.
+    fingerprints that share a block's value misses no pair. Those of each value are dealt as pairs of tiles in order of population count
+    (:func:`dealt_tiles`), so that no task gets an unbounded group; a task compares what it gets by :func:`tiled_links`.
     """
     spark = distinct.sparkSession
     blocks = radius + 1
     width = 64 // blocks
     assert width >= 16 or blocks <= 8
     mask = (1 << width) - 1
-    spots = distinct.select("fp", F.explode(F.array(*[F.lit(i) * F.lit(1 << width) + F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit(mask)) for i in range(blocks)])).alias("key"))
-    counts = cut(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")), small=True)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.filter(F.col("n") > HEAVY).select(F.col("key").alias("hk"), F.ceil(F.col("n") / HEAVY).cast("int").alias("m"))
-    joined = spots.join(F.broadcast(heavy), F.col("key") == F.col("hk"), "left")
-    part = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
-    dealt = joined.select("fp", "key", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(part, j) * F.lit(1 << 15) + F.greatest(part, j)))).alias("sub"))
+    key = F.explode(F.array(*[F.lit(i) * F.lit(1 << width) + F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit(mask)) for i in range(blocks)])).alias("key")
+    dealt, total = dealt_tiles(distinct.select("fp", key).withColumn("pop", F.bit_count("fp")), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [pa.Table.from_batches([b]) for b in batches]
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.concat_tables(got)
+        t = pa.Table.from_batches(got)
         fp, key, sub = (t.column(c).to_numpy() for c in ("fp", "key", "sub"))
         fp = fp.view(np.uint64)
         order = np.lexsort((sub, key))
-        fp, key, sub = fp[order], key[order], sub[order]
-        starts = np.nonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])[0]
-        ends = np.r_[starts[1:], len(fp)]
-        ea, eb = [], []
-        small = ends - starts <= 48
-        # small groups: all pairs at distance d in the sorted order at once
-        run_id = np.repeat(np.arange(len(starts)), ends - starts)
-        is_small = np.repeat(small, ends - starts)
-        for d in range(1, int((ends - starts)[small].max(initial=0))):
-            same = np.nonzero((run_id[d:] == run_id[:-d]) & is_small[d:])[0]
-            hit = same[np.bitwise_count(fp[same] ^ fp[same + d]) <= radius]
-            ea.append(fp[hit])
-            eb.append(fp[hit + d])
-        for s, e in zip(starts[~small], ends[~small]):
-            x, y = tiled_links(fp[s:e], radius)
-            ea.append(fp[s:e][x])
-            eb.append(fp[s:e][y])
-        if ea:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64), pa.int64()) for v in (ea, eb)], ["a", "b"])
+        k, s = key[order], sub[order]
+        group = np.empty(len(fp), np.int64)
+        group[order] = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
+        x, y = tiled_links(fp, radius, group)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[v].view(np.int64), pa.int64()) for v in (x, y)], ["a", "b"])
 
     n = max(shuffle_partitions(spark), -(-total // PER_TASK))
     return dealt.repartition(n, "key", "sub").mapInArrow(run, "a long, b long")
@@ -225,7 +228,7 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def near_edges(fps: np.ndarray, sizes: np.ndarray, upper: np.ndarray, sketches: np.ndarray, radius: int, similarity: float, root: np.ndarray | None = None, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near_edges(fps: np.ndarray, sizes: np.ndarray, upper: np.ndarray, sketches: np.ndarray, radius: int, similarity: float, root: np.ndarray | None = None, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, bits) of the pairs within the radius whose sizes and parity sketches allow the similarity, a block for each two tiles as in :func:`tiled_links`.
 
     ``upper`` rows are not compared with each other, nor are rows of one ``root``. No pair of the similarity within the radius is left out.

@@ -76,3 +76,13 @@ def test_line_dedup_same_id_other_text(spark):
     got = sorted(r.text for r in line_dedup(df).collect())
     assert "z" in got or got.count("") >= 1
     assert len(got) == 3 and df.select(F.count("*")).first()[0] == 3
+
+
+def test_line_dedup_of_a_long_text_is_linear(spark):
+    import time
+
+    body = "\n".join(f"line {i}" for i in range(40_000))
+    df = spark.createDataFrame([(1, body), (2, body + "\nown line")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup(df).collect()}
+    assert got == {1: (body, 0), 2: ("own line", 40_000)} and time.perf_counter() - began < 60
