@@ -339,3 +339,68 @@ def test_licence_sql_on_wrapped_texts(spark, tmp_path):
     frame = df.toPandas()
     c.register("documents", frame)
     assert got == sorted(c.execute(license_scan.LICENSE_SQL).fetchall())
+
+
+def brute_densest(root):
+    """The densest node by the definition, each node counted anew from its whole subtree."""
+    import math
+
+    def counts(x):
+        if x.tag in html_extract.RAW or x.hidden:
+            return 0, 0, 0, 0
+        c = sum(len(k.replace(" ", "")) for k in x.kids if isinstance(k, str) and k.strip())
+        below = [counts(k) for k in x.kids if not isinstance(k, str)]
+        c, t = c + sum(b[0] for b in below), sum(b[1] + 1 for b in below)
+        return (c, t, c, t + 1) if x.tag == "a" else (c, t, sum(b[2] for b in below), sum(b[3] for b in below))
+
+    def density(x):
+        c, t, lc, lt = counts(x)
+        if c == lc:
+            return 0.0
+        t = max(t, 1)
+        value = math.log(c / max(lc, 1) * t / max(lt, 1)) if c / max(lc, 1) * t / max(lt, 1) > 1 else 0.0
+        return c / t * value / math.log(c / (c - lc) * lc + whole[2] / max(whole[0], 1) * c + math.e)
+
+    nodes = list(html_extract._walk(root))
+    body = next((x for x in nodes if x.tag == "body"), root)
+    whole = counts(body)
+    under = list(html_extract._walk(body))
+    sums = [sum(density(k) for k in x.kids if not isinstance(k, str)) for x in under]
+    best = max(sums)
+    return [x for x, s in zip(under, sums) if s == best or best and abs(s - best) < 1e-9 * best], density
+
+
+def test_density_matches_brute_force():
+    import pyarrow.parquet as pq
+
+    pages = [PAGE, "<p>x</p>", "plain", "<body><div><p>a<a href=x>b</a></div><div>cc</div></body>"]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        pages += [p for p in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist() if p][:40]
+    for page in pages:
+        root = html_extract.parse(page)
+        body = html_extract.measure(root)
+        best, density = brute_densest(root)
+        assert html_extract.densest(body) in best
+        for x in html_extract._walk(body):
+            assert abs(x.score - density(x)) <= 1e-9 * max(1.0, x.score)
+
+
+def test_parts_of_the_article_stay():
+    p = f"<p>{words(1, 60)}</p>"
+    page = f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><section class='related-work'>{p}</section><p class='search'>Search trees.</p><div class='related-posts'>Others</div><p>Yes.</p></article></body>"
+    assert html_extract.main_text(page) == f"Title\n{words(1, 60)}\nSearch trees.\nYes."
+    several = "".join(f"<article><h2>Part {i}</h2><p>{words(i, 50)}</p></article>" for i in range(3))
+    assert html_extract.main_text(f"<body><nav><a href=/>Home</a></nav><div>{several}</div><footer>End of it</footer></body>").count("Part") == 3
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(9)) + "</ul></div>"
+    assert html_extract.main_text(f"<body><div><h1>T</h1>{p}{menu}{p}</div></body>") == f"T\n{words(1, 60)}\n{words(1, 60)}"
+
+
+def test_nested_pages_take_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<div>" * n + "<dd></dd>" * n, "<b>" * n + "<p>x</p>" * n, "<dd><dl>" + "<div>" * n + "<dt></dt>" * n, "<p>" * n + "</div>" * n, "<li><ul>" + "<b>" * n + "<li>x" * n, "<div>" * n + "</b>" * n):
+            html_extract.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(32_000) < 12 * seconds(4_000) + 1
