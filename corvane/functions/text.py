@@ -20,6 +20,9 @@ OLD_KEYWORDS = ["cũ", "trước đây", "trước kia", "đã hết hạn", "kh
 BOOST_KEYWORDS = ["mới", "cập nhật", "hiện hành", "new", "updated", "current"]
 UNBOOST_KEYWORDS = ["cũ", "trước đây", "old", "previous", "deprecated"]
 ENTITY_PATTERNS = ["(học phí|điểm|môn học|tín chỉ|học kỳ)", "(đăng ký|deadline|hạn|thời gian)", "(quy định|quy chế|điều|khoản)", "(sinh viên|học sinh|học viên)", r"(\d+(?:\.\d+)?%)", r"(\d{4})"]
+KEY_VALUE_PATTERNS = [r"([\w\s]+)\s+(?:là|bằng|=)\s+([\d,.]+(?:\s*%)?)", r"([\w\s]+):\s*([\d,.]+(?:\s*%)?)", r"(điểm|học phí|tín chỉ|thời gian)\s+(?:tối thiểu|tối đa|cần thiết)?\s*(?:là|:)?\s*([\d,.]+)"]
+DATE_PATTERNS = [r"ngày\s+(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"năm\s+(\d{4})", r"tháng\s+(\d{1,2})[/-](\d{4})", r"(\d{4})-(\d{2})-(\d{2})"]
+VERSION_PATTERN = r"quy\s*định\s+(?:số\s+)?(\d+)[/-](\d{4})"
 # Fixed values end.
 
 
@@ -115,29 +118,19 @@ def text_date(c: Column, versions: bool = False) -> Column:
 
     ``versions`` also reads a regulation's number and year as month and year.
     """
-    g = lambda p, i: F.nullif(F.regexp_extract(c, "(?i)" + p, i), F.lit(""))
-    dmy = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-    steps = [
-        _date(g(r"ngày\s+" + dmy, 3), g(r"ngày\s+" + dmy, 2), g(r"ngày\s+" + dmy, 1)),
-        _date(g(dmy, 3), g(dmy, 2), g(dmy, 1)),
-        _date(g(r"năm\s+(\d{4})", 1), F.lit("1"), F.lit("1")),
-        _date(g(r"tháng\s+(\d{1,2})[/-](\d{4})", 2), g(r"tháng\s+(\d{1,2})[/-](\d{4})", 1), F.lit("1")),
-        _date(g(r"(\d{4})-(\d{2})-(\d{2})", 1), g(r"(\d{4})-(\d{2})-(\d{2})", 2), g(r"(\d{4})-(\d{2})-(\d{2})", 3)),
-    ]
+    g = lambda p, i: F.nullif(F.regexp_extract(c, "(?i)" + p, i), F.lit("")) if i else F.lit("1")
+    places = [(3, 2, 1), (3, 2, 1), (1, 0, 0), (2, 1, 0), (1, 2, 3)]  # groups of year, month and day of each pattern
+    steps = [_date(g(p, y), g(p, m), g(p, d)) for p, (y, m, d) in zip(DATE_PATTERNS, places)]
     if versions:
-        rule = r"quy\s*định\s+(?:số\s+)?(\d+)[/-](\d{4})"
-        steps.append(_date(g(rule, 2), g(rule, 1), F.lit("1")))
+        steps.append(_date(g(VERSION_PATTERN, 2), g(VERSION_PATTERN, 1), F.lit("1")))
     return F.coalesce(*steps)
 
 
-KEY_VALUES = [r"(?iU)([\w\s]+)\s+(?:là|bằng|=)\s+([\d,.]+(?:\s*%)?)", r"(?iU)([\w\s]+):\s*([\d,.]+(?:\s*%)?)", r"(?iU)(điểm|học phí|tín chỉ|thời gian)\s+(?:tối thiểu|tối đa|cần thiết)?\s*(?:là|:)?\s*([\d,.]+)"]
-
-
 def key_values(c: Column) -> Column:
     """map of key to value that a text states ("x is 5", "x: 5%"); later statements override earlier ones."""
-    pairs = F.concat(*[F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.lower(strip(x))).alias("k"), F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(2)), strip).alias("v")) for p in KEY_VALUES])
+    pairs = F.concat(*[F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.lower(strip(x))).alias("k"), F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(2)), strip).alias("v")) for p in map("(?iU)".__add__, KEY_VALUE_PATTERNS)])
     pairs = F.filter(pairs, lambda x: (x["k"] != "") & (x["v"] != ""))
-    last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.lit(1 << 20)), lambda y: y["k"] == x["k"]))
+    last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,21 +11,21 @@ from corvane.functions.vectors import cosine, hashed_embedding, hashed_embedding
 
 
 def sentence_score(sentence: Column, query_tokens: Column) -> Column:
-    """Shared distinct terms over the query's; half as much again from three shared terms."""
-    q = F.array_distinct(query_tokens)
-    overlap = F.size(F.array_intersect(q, F.array_distinct(tokens(sentence))))
-    return F.when(F.size(q) == 0, 0.0).otherwise(overlap / F.size(q) * F.when(overlap > 2, 1.5).otherwise(1.0))
+    """Shared distinct terms over the query's; half as much again from three shared terms. ``query_tokens`` are distinct."""
+    share = lambda n: F.when(F.size(query_tokens) == 0, 0.0).otherwise(n / F.size(query_tokens) * F.when(n > 2, 1.5).otherwise(1.0))
+    return F.get(F.transform(F.array(F.size(F.array_intersect(query_tokens, tokens(sentence)))), share), F.lit(0))  # the count is bound, not worked out three times
 
 
 def extractive_compress(pairs: DataFrame, query_col: str = "query", text_col: str = "text", keys: tuple = ("query_id", "id"), top: int = 5, digits: int = 6) -> DataFrame:
     """(keys, compressed, original_length, compressed_length): the best sentences of each text, best first; texts without any go.
 
-    A text's sentences stay in its row: no shuffle.
+    A text's sentences stay in its row: no shuffle. Texts go where nothing is left by way of the explode, so that nothing is worked out again for a filter.
     """
     scored = F.transform(bare_sentences(F.col(text_col)), lambda s, i: F.struct((-F.round(sentence_score(s, F.col("__q")), digits)).alias("s"), i.alias("i"), s.alias("t")))
-    best = F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, top), lambda x: x["t"])
-    out = pairs.withColumn("__q", tokens(F.col(query_col))).withColumn("compressed", F.array_join(best, " "))
-    return out.filter(F.col("compressed") != "").select(*keys, "compressed", F.length(text_col).cast("long").alias("original_length"), F.length("compressed").cast("long").alias("compressed_length"))
+    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, top)
+    joined = F.transform(F.filter(F.array(best), lambda b: F.size(b) > 0), lambda b: F.array_join(F.transform(b, lambda x: x["t"]), " "))
+    out = pairs.withColumn("__q", F.array_distinct(tokens(F.col(query_col)))).select("*", F.explode(joined).alias("compressed"))
+    return out.select(*keys, "compressed", F.length(text_col).cast("long").alias("original_length"), F.length("compressed").cast("long").alias("compressed_length"))
 
 
 def filter_compress(pairs: DataFrame, query_col: str = "query", text_col: str = "text", keys: tuple = ("query_id", "id"), top: int = 5, least: float = 0.3) -> DataFrame:
@@ -42,6 +43,35 @@ def hybrid_compress(pairs: DataFrame, query_col: str = "query", text_col: str =
     return filter_compress(first.drop("original_length", "compressed_length"), query_col, "__t", keys, top, least)
 
 
+def generated_compress(pairs: DataFrame, generator, query_col: str = "query", text_col: str = "text", keys: tuple = ("query_id", "id"), least_words: int = 50) -> DataFrame:
+    """The same by a generator's summaries of texts of ``least_words`` words and more; shorter texts, and those for which the generator fails, stay as they are."""
+    ask = F.concat(F.lit("Summarise the passage; keep what bears on the question.\nQuestion: "), F.col(query_col), F.lit("\n\nPassage:\n"), F.col(text_col), F.lit("\n\nSummary:"))
+
+    @F.pandas_udf("string")
+    def said(prompts: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(prompt: str, text: str) -> str:
+            if len((text or "").split()) < least_words:
+                return text
+            try:
+                return generator.answer(prompt).strip()
+            except Exception:  # noqa: BLE001  a provider's failure keeps the text
+                return text
+
+        return pd.Series([one(p, t) for p, t in zip(prompts, texts)], dtype=object)
+
+    out = pairs.withColumn("compressed", said(ask, F.col(text_col)))
+    return out.select(*keys, "compressed", F.length(text_col).cast("long").alias("original_length"), F.length("compressed").cast("long").alias("compressed_length"))
+
+
+def compress(pairs: DataFrame, method: str = "extractive", generator=None, most: int | None = None, order: str = "rank", **options) -> DataFrame:
+    """Compression by name: extractive, filter, hybrid, or llm, which without a generator is extractive, as is any other name. ``most`` keeps the first texts of each query by ``order``."""
+    if most is not None:
+        pairs = pairs.filter(F.col(order) <= most)
+    if method == "llm" and generator is not None:
+        return generated_compress(pairs, generator, **options)
+    return {"filter": filter_compress, "hybrid": hybrid_compress}.get(method, extractive_compress)(pairs, **options)
+
+
 def context_budget(ranked: DataFrame, most_tokens: int = 4000, group: str = "query_id", order: str = "rank", text_col: str = "text", start: str | None = None, end: str | None = None) -> DataFrame:
     """(group, context): numbered texts joined by blank lines until the estimated tokens reach the budget; the text that crosses it is cut and gets dots."""
     w = Window.partitionBy(group).orderBy(order)
@@ -105,12 +135,16 @@ def verify(df: DataFrame, answer: str = "answer", context: str = "context", retr
     return out.withColumn("action", suggested_action(F.col("level"), F.col("should_abstain"), (F.col("n_grounded") < F.col("n_claims")) | (F.col("n_indicators") > 2)))
 
 
-def abstention(queries: DataFrame, hits: DataFrame, least: float = 0.3, enough: int = 1, query_id: str = "query_id", score: str = "score") -> DataFrame:
-    """(query_id, n_hits, max_score, n_relevant, abstain, reason) for every query, hits or not."""
+def abstention(queries: DataFrame, hits: DataFrame, least: float = 0.3, enough: int = 1, query_id: str = "query_id", score: str = "score", contexts: DataFrame | None = None, shortest: int = 50) -> DataFrame:
+    """(query_id, n_hits, max_score, n_relevant, abstain, reason) for every query, hits or not. With ``contexts`` (query_id, context), a context that is not empty and shorter than ``shortest`` characters is too little, too."""
     agg = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max(score).alias("max_score"), F.count_if(F.col(score) >= least).alias("n_relevant"))
     j = queries.select(F.col(query_id).alias("query_id")).distinct().join(agg, "query_id", "left")
     n, rel = F.coalesce("n_hits", F.lit(0)).cast("long"), F.coalesce("n_relevant", F.lit(0)).cast("long")
-    reason = F.when(n == 0, "no_hits").when(F.col("max_score") < least, "low_similarity").when(rel < enough, "too_few_relevant").otherwise("answer")
+    short = F.lit(False)
+    if contexts is not None:
+        j = j.join(contexts.select("query_id", F.length("context").alias("__chars")), "query_id", "left")
+        short = F.coalesce((F.col("__chars") > 0) & (F.col("__chars") < shortest), F.lit(False))
+    reason = F.when(n == 0, "no_hits").when(F.col("max_score") < least, "low_similarity").when(rel < enough, "too_few_relevant").when(short, "short_context").otherwise("answer")
     return j.select("query_id", n.alias("n_hits"), F.col("max_score"), rel.alias("n_relevant"), (reason != "answer").alias("abstain"), reason.alias("reason"))
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import sentences, strip, word_count
 
-#: From paragraphs to single characters.
-SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", "; ", " ", ""]
+# Separators from paragraphs to single characters, in order.
+SEPARATORS = ["\n\n", "\n", ". ", "? ", "! ", ", ", " ", ""]
+# Fixed values end.
 
 
 def _chunk_id(id_col: str) -> Column:

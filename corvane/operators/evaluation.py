@@ -72,10 +72,11 @@ def tuning_score(mrr: Column, ndcg: Column, f1_: Column, semantic: Column) -> Co
     return 0.3 * mrr + 0.3 * ndcg + 0.2 * f1_ + 0.2 * semantic
 
 
-def generated_queries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 50) -> DataFrame:
-    """(id, query): the first sentence, of 21 to 150 characters, of texts of at least 50; ``most`` of them, the smallest ids."""
+def generated_queries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = 50) -> DataFrame:
+    """(id, query): the first sentence, of 21 to 150 characters, of texts of at least 50; ``most`` of them, the smallest ids, or all."""
     q = F.substring(F.substring_index(text_col, ".", 1), 1, 150)
-    return docs.filter(F.length(text_col) >= 50).select(F.col(id_col).alias("id"), F.trim(q).alias("query")).filter(F.length("query") > 20).orderBy("id").limit(most)
+    out = docs.filter(F.length(text_col) >= 50).select(F.col(id_col).alias("id"), F.trim(q).alias("query")).filter(F.length("query") > 20)
+    return out if most is None else out.orderBy("id").limit(most)
 
 
 def semantic_similarity(df: DataFrame, prediction: str = "prediction", truth: str = "truth", digits: int = 6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.sources.tables import cut
 
 K1, B = 1.5, 0.75
 #: Rows (query, token) that are broadcast at most: some 20 MB.
@@ -34,13 +35,24 @@ SYNONYMS = [
 # Fixed values end.
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(token, id, tf, len): the index. Built once, it serves any number of queries; len is the document's number of tokens.
+def counted_tokens(toks: Column) -> Column:
+    """An array of tokens to an array of (token, tf), by one sort and one pass; no document leaves its row."""
+    runs = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    pairs = lambda t, r: F.transform(r, lambda i, k: F.struct(F.get(t, i).alias("token"), (F.coalesce(F.get(r, k + 1), F.size(t)) - i).cast("long").alias("tf")))
+    bound = F.transform(F.array(F.array_sort(toks)), lambda t: F.get(F.transform(F.array(runs(t)), lambda r: pairs(t, r)), F.lit(0)))
+    return F.when(F.size(toks) > 0, F.get(bound, F.lit(0)))
 
-    Documents are dealt by id once; counting a document's tokens and, later, summing its scores then need no further shuffle.
-    """
-    t = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).repartition("id").select("id", tokens(F.col("t")).alias("toks"))
-    return t.select("id", F.size("toks").cast("long").alias("len"), F.explode_outer("toks").alias("token")).filter("token is not null").groupBy("id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, len, token, tf, first): a document's tokens, counted in its row; first marks one row of each document, which has a null token if it has none."""
+    t = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
+    t = t.select("id", F.size("toks").cast("long").alias("len"), F.posexplode_outer(counted_tokens(F.col("toks"))).alias("pos", "p"))
+    return t.select("id", "len", F.col("p.token").alias("token"), F.col("p.tf").alias("tf"), F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"))
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, len, token, tf): the index; len is the document's number of tokens. Tokens are counted inside each row, so no text is shuffled."""
+    return _counted(docs, id_col, text_col).filter("token is not null").drop("first")
 
 
 def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,6 +60,19 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))).cast("double")).alias("avgdl"))
 
 
+def query_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(index, stats) for the tokens of some queries: one pass over the texts, whose counts of these tokens are dealt by id and kept in the shared folder.
+
+    Up to BROADCAST_TERMS distinct tokens, counted first, are broadcast; more are joined.
+    """
+    wanted = terms.select("token").distinct()
+    few = F.broadcast if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
+    rows = _counted(docs, id_col, text_col).join(few(wanted.select(F.col("token").alias("w"))), F.col("token") == F.col("w"), "left").filter("w is not null or first")
+    kept = cut(rows.select("id", "len", F.col("w").alias("token"), "tf", "first").repartition("id"))
+    stats = kept.agg(F.count_if("first").alias("n"), (F.sum(F.when(F.col("first"), F.col("len"))) / F.count_if("first")).alias("avgdl"))
+    return kept.filter("token is not null").drop("first"), stats
+
+
 def bm25_idf(index: DataFrame, stats: DataFrame) -> DataFrame:
     """(token, df, idf): idf = ln((n - df + 0.5) / (df + 0.5) + 1)."""
     df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -62,7 +87,7 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score) for documents that share a token with the query.
 
-    The index stays dealt by id. Up to BROADCAST_TERMS query tokens, counted first, are broadcast with their idf, and
+    Up to BROADCAST_TERMS query tokens, counted first, are broadcast with their idf, so an index dealt by id stays so and its
     sums need no shuffle; beyond that the index is joined on the token.
     """
     few = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda x: x)
@@ -82,7 +107,8 @@ def top_k(scored: DataFrame, k: int, score: str = "score", group: str = "query_i
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank), scores over 0 only, rounded before ranking."""
-    scored = bm25_scores(postings(docs, id_col, text_col), corpus_stats(docs, id_col, text_col), query_terms(queries, query_id, query_col))
+    terms = query_terms(queries, query_id, query_col)
+    scored = bm25_scores(*query_index(docs, terms, id_col, text_col), terms)
     return top_k(scored.withColumn("score", F.round("score", digits)).filter("score > 0"), k)
 
 

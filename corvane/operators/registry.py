@@ -31,11 +31,10 @@ def listing(df: DataFrame, sort_by: str = "uploaded_at", descending: bool = True
 
 def stats(df: DataFrame) -> DataFrame:
     """(kind, value, n, total_size, total_chunks, latest): totals, by type and by status, in one pass of grouping sets."""
-    df.createOrReplaceTempView("__registry")
-    return df.sparkSession.sql("""
-        SELECT CASE grouping_id() WHEN 3 THEN 'total' WHEN 1 THEN 'type' ELSE 'status' END AS kind, coalesce(file_type, status, '') AS value, count(*) AS n,
-               coalesce(sum(file_size), 0) AS total_size, coalesce(sum(chunk_count), 0) AS total_chunks, max(uploaded_at) AS latest
-        FROM __registry GROUP BY GROUPING SETS ((), (file_type), (status))""")
+    sets = df.groupingSets([[], [F.col("file_type")], [F.col("status")]], "file_type", "status")
+    out = sets.agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"), F.max("uploaded_at").alias("latest"))
+    kind = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "type").otherwise("status")
+    return out.select(kind.alias("kind"), F.coalesce("file_type", "status", F.lit("")).alias("value"), "n", "total_size", "total_chunks", "latest")
 
 
 def media_counts(df: DataFrame, category: Column) -> DataFrame:
@@ -45,10 +44,13 @@ def media_counts(df: DataFrame, category: Column) -> DataFrame:
 def fresh_documents(batch: DataFrame, known: DataFrame | None = None, content: str = "content", order: str = "path", fail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(new, duplicates) by md5 of the content: against the registry (file_hash, id) and inside the batch, where the first by ``order`` stays.
 
-    Duplicates carry existing_id. With ``fail`` a duplicate raises when it is read.
+    Duplicates carry existing_id. With ``fail`` a duplicate raises when it is read. The first of each content is found by an aggregation, map-side first, and met
+    by a join, so a content that a third of all rows hold is in no task as a whole. Rows that agree in content and ``order`` are told apart by their other columns; rows that agree in all are all first.
     """
     h = batch.withColumn("file_hash", F.md5(F.col(content)))
-    ranked = h.withColumn("__n", F.row_number().over(Window.partitionBy("file_hash").orderBy(order)))
+    row = F.struct(order, F.xxhash64(*[c for c in batch.columns if c != content and not dict(batch.dtypes)[c].startswith("map")]))
+    firsts = h.groupBy("file_hash").agg(F.min(row).alias("__first"))
+    ranked = h.join(firsts, "file_hash").withColumn("__n", F.when(row == F.col("__first"), 1).otherwise(2)).drop("__first").select(*h.columns, "__n")
     if known is None:
         known = batch.sparkSession.createDataFrame([], "file_hash string, id string")
     have = known.groupBy("file_hash").agg(F.min("id").alias("existing_id"))
@@ -60,8 +62,8 @@ def fresh_documents(batch: DataFrame, known: DataFrame | None = None, content: s
 
 
 def document_id(key: Column) -> Column:
-    """doc_ and the first eight hex digits of md5: the same for the same key."""
-    return F.concat(F.lit("doc_"), F.left(F.md5(key), F.lit(8)))
+    """doc_ and the md5 of the key, whole: ids must not collide among many documents."""
+    return F.concat(F.lit("doc_"), F.md5(key))
 
 
 def point_id(doc: Column, index: Column) -> Column:
@@ -91,6 +93,10 @@ def delete_by_filter(df: DataFrame, conditions: dict) -> DataFrame:
     return df.filter(keep)
 
 
+#: Cells by which an eviction sums a cache: the driver gets one sum each.
+EVICT_CELLS = 10_000
+
+
 # Caches are tables (key, value, created_at, used_at, bytes).
 
 
@@ -107,9 +113,28 @@ def cache_live(cache: DataFrame, as_of: str, ttl_hours: int = 24) -> DataFrame:
 
 
 def cache_evict(cache: DataFrame, limit: int, order: str = "used_at", size: str = "bytes", tie: str = "key", part: str | None = None, target: float = 0.8) -> DataFrame:
-    """The newest entries that fit ``target`` of the limit, if the whole exceeds the limit; else all. ``part`` keeps caches apart."""
-    p = [F.col(part)] if part else [F.lit(1)]
-    w = Window.partitionBy(*p)
+    """The newest entries that fit ``target`` of the limit, if the whole exceeds the limit; else all. ``part`` keeps caches apart.
+
+    Without ``part``, entries are summed by cells of equal width of ``order`` (a time or a number); only the cell in which the sum passes the target is ranked in one task.
+    """
+    if not part:
+        at = F.col(order).cast("double")
+        low, high, total = cache.agg(F.min(at), F.max(at), F.sum(size)).first()
+        if total is None or total <= limit:
+            return cache
+        cell = F.least(F.floor((at - F.lit(low)) / F.lit(max(high - low, 1e-9) / EVICT_CELLS)), F.lit(EVICT_CELLS - 1)).cast("long")
+        room, edge = limit * target, None
+        for c, n in cache.groupBy(cell.alias("c")).agg(F.sum(size).alias("n")).orderBy(F.col("c").desc_nulls_last()).collect():
+            if n > room:
+                edge = c
+                break
+            room -= n
+        if edge is None:
+            return cache.limit(0) if room == limit * target else cache
+        run = Window.partitionBy(F.lit(1)).orderBy(F.col(order).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        within = cache.filter(cell == edge).withColumn("__run", F.sum(size).over(run)).filter(F.col("__run") <= room).drop("__run")
+        return cache.filter(cell > edge).unionByName(within)
+    w = Window.partitionBy(F.col(part))
     run = w.orderBy(F.col(order).desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
     return cache.withColumn("__all", F.sum(size).over(w)).withColumn("__run", F.sum(size).over(run)).filter((F.col("__all") <= limit) | (F.col("__run") <= limit * target)).drop("__all", "__run")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import metrics as M
 from corvane.functions import text as T
-from corvane.functions.vectors import dot as _dot
-from corvane.operators import answers, chunking, conflict, evaluation, lexical, registry, search
+from corvane.operators import answers, chunking, evaluation, lexical, search
 from corvane.sources.tables import table as _table
 
 QUERIES: dict = {}
@@ -41,7 +42,8 @@ bm AS (SELECT query_id, id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 +
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, q = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return lexical.bm25_scores(lexical.postings(docs), lexical.corpus_stats(docs), lexical.query_terms(q, "item_id", "text")).withColumn("score", F.round("score", 6)).filter("score > 0")
+    terms = lexical.query_terms(q, "item_id", "text")
+    return lexical.bm25_scores(*lexical.query_index(docs, terms), terms).withColumn("score", F.round("score", 6)).filter("score > 0")
 
 
 @_query(f"WITH {_BM25} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0) WHERE rank <= {K}")
@@ -94,10 +96,10 @@ def vector_knn_euclid(spark, sf_dir):
     return _knn(spark, sf_dir, metric="euclid", exclude_self=True)
 
 
-@_query(f"WITH {_PAIRS} SELECT query_id, id, score, rank FROM {_knn_sql('cosine', K, 'pl = 3 AND id BETWEEN 100 AND 400 AND round(' + _METRIC['cosine'] + ', 6) >= 0.1')}")
+@_query(f"WITH {_PAIRS} SELECT query_id, id, score, rank FROM {_knn_sql('cosine', K, 'pl BETWEEN 3 AND 5 AND round(' + _METRIC['cosine'] + ', 6) >= 0.1')}")
 def vector_knn_filtered(spark, sf_dir):
     p = _table(spark, sf_dir, "embeddings")
-    kept = search.payload_filter(p, {"label": 3, "vec_id": {"gte": 100, "lte": 400}})
+    kept = search.payload_filter(p, {"label": {"gte": 3, "lte": 5}})
     return search.knn(kept, p.filter(F.col("vec_id") % EVERY == 0), K, threshold=0.1).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -137,14 +139,11 @@ def hybrid_search(spark, sf_dir):
     return search.hybrid(near, _bm25(spark, sf_dir), K, alpha=0.7).withColumn("rank", F.col("rank").cast("long"))
 
 
-_LISTS = f"""lists AS (SELECT 'cosine' AS list_id, * FROM {_knn_sql('cosine', K)} UNION ALL SELECT 'euclid', * FROM {_knn_sql('euclid', K)} UNION ALL SELECT 'near', * FROM {_knn_sql('dot', K, 'abs(query_id - id) <= 100')})"""
+_LISTS = f"""lists AS (SELECT 'cosine' AS list_id, * FROM {_knn_sql('cosine', K)} UNION ALL SELECT 'euclid', * FROM {_knn_sql('euclid', K)} UNION ALL SELECT 'dot', * FROM {_knn_sql('dot', K)})"""
 
 
 def _lists(spark, sf_dir):
-    p = _table(spark, sf_dir, "embeddings")
-    q = p.filter(F.col("vec_id") % EVERY == 0)
-    near = lexical.top_k(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.floor(F.col("vec_id") / 101).alias("cell")).withColumn("cell", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)]))).join(p.select(F.col("vec_id").alias("id"), F.col("embedding").alias("pv"), F.floor(F.col("vec_id") / 101).alias("cell")), "cell").filter(F.abs(F.col("query_id") - F.col("id")) <= 100).select("query_id", "id", F.round(_dot(F.col("qv"), F.col("pv")), 6).alias("score")), K)
-    return _knn(spark, sf_dir).withColumn("list_id", F.lit("cosine")).unionByName(_knn(spark, sf_dir, metric="euclid").withColumn("list_id", F.lit("euclid"))).unionByName(near.withColumn("rank", F.col("rank").cast("long")).withColumn("list_id", F.lit("near")))
+    return reduce(DataFrame.unionByName, [_knn(spark, sf_dir, metric=m).withColumn("list_id", F.lit(m)) for m in ("cosine", "euclid", "dot")])
 
 
 @_query(f"WITH {_PAIRS}, {_LISTS} SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(sum(1.0 / (60 + rank)::DOUBLE), 6) AS score FROM lists GROUP BY ALL)) WHERE rank <= {K}")
@@ -367,8 +366,11 @@ cc AS (SELECT conv_id, turn, claim_no, c AS claim, len(terms) AS n_terms, len(li
 
 
 def _answers(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list("text").over(w), " ")).filter("role = 'assistant'").withColumnRenamed("text", "answer")
+    """Each answer with all that was said before it. A conversation is gathered once; a turn's context is a slice of it."""
+    turn = F.struct("turn", "role", "text")
+    whole = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = whole.select("conv_id", "turns", F.posexplode("turns").alias("at", "t")).filter("t.role = 'assistant'")
+    return rows.select("conv_id", "t.turn", F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("at")), lambda x: x["text"]), " ").alias("context"), F.col("t.text").alias("answer"))
 
 
 @_query(f"WITH {_CLAIMS} SELECT conv_id, turn, claim_no, claim, n_terms, n_found, CASE WHEN n_terms = 0 THEN 0.0::DOUBLE ELSE round(n_found::DOUBLE / n_terms, 6) END AS coverage, n_terms > 0 AND n_found * 2 >= n_terms AS grounded FROM cc")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -25,40 +27,75 @@ def retrieval_quality(spark, sf_dir):
     return answers.retrieval_quality(_knn(spark, sf_dir))
 
 
-#: Chunks of our own that disagree: the tables hold no dates and no keys with values.
-CHUNKS = [
-    (1, 1, "Học phí là 5,000,000 theo quy định mới.", "2024-03-01", 0.8, "học phí quy định"),
-    (1, 2, "Học phí là 4.500.000 theo quy định cũ.", "2019-09-01", 0.9, "học phí quy định"),
-    (1, 3, "Học phí là 5000000.", None, 0.4, "học phí quy định"),
-    (1, 4, "Thời gian: 8 tuần.", "01/02/2023", 0.5, "học phí quy định"),
-    (2, 5, "The limit = 10 for members, updated.", None, 0.7, "What is the limit?"),
-    (2, 6, "The limit = 12 for members.", None, 0.6, "What is the limit?"),
-    (2, 7, "Released ngày 31/12/2022 and năm 2021.", None, 0.6, "What is the limit?"),
-    (2, 8, "Released ngày 31/02/2022 or năm 2021.", "not a date", 0.3, "What is the limit?"),
-    (2, 9, "The limit = 12 for members.", None, 0.5, "What is the limit?"),
-]
-_CHUNK_SQL = "chunks(query_id, id, text, date, similarity, query) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in CHUNKS) + ")"
+#: Chunks that disagree, one for each order: its text states a total, some that they are updated or old, some a date. The chunks of a customer are those of one question.
+_CHUNK_SQL = """chunks AS (SELECT o_custkey AS query_id, o_orderkey AS id, round(o_totalprice / 700001, 5) AS similarity, 'Order total = ' || floor(o_totalprice)::BIGINT || CASE WHEN o_orderpriority LIKE '1%' THEN ' updated' WHEN o_orderpriority LIKE '5%' THEN ' old' ELSE '' END
+  || CASE WHEN o_orderstatus = 'O' THEN ' on ' || strftime(o_orderdate::DATE, '%Y-%m-%d') ELSE '' END AS text FROM orders),
+read AS (SELECT *, lower(trim(split_part(text, '=', 1))) AS key, regexp_extract(text, '= ([0-9]+)', 1) AS value, try_cast(nullif(regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '') AS DATE) AS doc_date, contains(text, 'updated') AS newer, contains(text, 'old') AS older FROM chunks)"""
 
 
-def _chunks(spark):
-    return spark.createDataFrame(CHUNKS, "query_id long, id long, text string, date string, similarity double, query string")
+def _chunks(spark, sf_dir):
+    p, none = F.col("o_orderpriority"), F.lit("")
+    word = F.when(p.startswith("1"), " updated").when(p.startswith("5"), " old").otherwise(none)
+    day = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit(" on "), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"))).otherwise(none)
+    text = F.concat(F.lit("Order total = "), F.floor("o_totalprice").cast("long").cast("string"), word, day)
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 700001, 5).cast("double").alias("similarity"), text.alias("text"), F.lit("Order status").alias("query"))
 
 
-@_query(f"""WITH {_CHUNK_SQL} SELECT * FROM (VALUES
- (1::BIGINT, 'học phí_quy định', 'học phí', 1::BIGINT, 2::BIGINT, '5,000,000', '4.500.000', 'date')) t(query_id, topic, key, id_a, id_b, value_a, value_b, kind)
- UNION ALL SELECT * FROM (VALUES (2::BIGINT, 'the', 'the limit', 5::BIGINT, 6::BIGINT, '10', '12', 'version'), (2::BIGINT, 'the', 'the limit', 5::BIGINT, 9::BIGINT, '10', '12', 'version')) u(query_id, topic, key, id_a, id_b, value_a, value_b, kind)""")
+@_query(f"""WITH {_CHUNK_SQL} SELECT a.query_id, 'order' AS topic, a.key, a.id AS id_a, b.id AS id_b, a.value AS value_a, b.value AS value_b, CASE WHEN a.doc_date IS NOT NULL AND b.doc_date IS NOT NULL THEN 'date' WHEN a.newer <> b.newer THEN 'version' ELSE 'value' END AS kind
+FROM read a JOIN read b ON a.query_id = b.query_id AND a.key = b.key AND a.id < b.id AND a.value <> b.value""")
 def conflict_pairs(spark, sf_dir):
-    """The expected rows are written out by hand from the rules."""
-    q = _chunks(spark).withColumn("query", F.when(F.col("query_id") == 2, "The limit?").otherwise(F.col("query")))
-    return conflict.conflict_pairs(q)
+    return conflict.conflict_pairs(_chunks(spark, sf_dir), date_col=None)
 
 
-@_query(f"""WITH {_CHUNK_SQL}, d AS (SELECT *, CASE id WHEN 1 THEN DATE '2024-03-01' WHEN 2 THEN DATE '2019-09-01' WHEN 4 THEN DATE '2023-02-01' WHEN 7 THEN DATE '2022-12-31' WHEN 8 THEN DATE '2021-01-01' END AS doc_date FROM chunks),
-s AS (SELECT *, round(coalesce(0.4::DOUBLE * greatest(0.0::DOUBLE, 1 - date_diff('day', doc_date, DATE '2025-01-01') / 3650.0::DOUBLE), 0) + CASE WHEN id IN (1, 5) THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN id = 2 THEN 0.2::DOUBLE ELSE 0 END + 0.3::DOUBLE * similarity, 6) AS resolved_score FROM d),
+@_query(f"""WITH {_CHUNK_SQL}, s AS (SELECT *, round(coalesce(0.4::DOUBLE * greatest(0.0::DOUBLE, 1 - date_diff('day', doc_date, DATE '1999-01-01') / 3650.0::DOUBLE), 0) + CASE WHEN newer THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN older THEN 0.2::DOUBLE ELSE 0 END + 0.3::DOUBLE * similarity, 6) AS resolved_score FROM read),
 f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, substr(text, 1, 200) ORDER BY resolved_score DESC, id) = 1)
-SELECT query_id::BIGINT AS query_id, id::BIGINT AS id, strftime(doc_date, '%Y-%m-%d') AS doc_date, resolved_score, row_number() OVER (PARTITION BY query_id ORDER BY resolved_score DESC, id) AS rank FROM f""")
+SELECT query_id, id, strftime(doc_date, '%Y-%m-%d') AS doc_date, resolved_score, row_number() OVER (PARTITION BY query_id ORDER BY resolved_score DESC, id) AS rank FROM f""")
 def conflict_resolve_newer(spark, sf_dir):
-    return conflict.resolve(_chunks(spark), "2025-01-01").select("query_id", "id", F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"), "resolved_score", F.col("rank").cast("long").alias("rank"))
+    return conflict.resolve(_chunks(spark, sf_dir), "1999-01-01", date_col=None).select("query_id", "id", F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"), "resolved_score", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(f"""WITH {_CHUNK_SQL}, c AS (SELECT *, max(value) OVER (PARTITION BY query_id) <> min(value) OVER (PARTITION BY query_id) AS disputed, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place, row_number() OVER (PARTITION BY query_id ORDER BY id) AS pos FROM read)
+SELECT 'prefer_higher_score' AS strategy, query_id, id, place AS rank, '' AS note FROM c UNION ALL SELECT 'manual_review', query_id, id, pos, '' FROM c
+UNION ALL SELECT 'merge_all', query_id, id, place, CASE WHEN disputed THEN ' [sources disagree]' ELSE '' END FROM c
+UNION ALL SELECT 'show_all_versions', query_id, id, place, CASE WHEN disputed THEN ' [version of ' || coalesce(strftime(doc_date, '%Y-%m-%d'), 'unknown date') || ']' ELSE '' END FROM c""")
+def conflict_strategies(spark, sf_dir):
+    """The strategies but prefer_newer, which has a query of its own."""
+    chunks = _chunks(spark, sf_dir)
+    pairs = conflict.conflict_pairs(chunks, date_col=None)
+    one = lambda s: conflict.resolve(chunks, "1999-01-01", s, date_col=None, conflicts=pairs)
+    parts = [one(s).select(F.lit(s).alias("strategy"), "query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("note") if s in ("merge_all", "show_all_versions") else F.lit("").alias("note")) for s in conflict.STRATEGIES[1:]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query(f"""WITH {_PAIRS}, h AS (SELECT * FROM {_knn_sql('cosine', 2 * K)}), d AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - date_diff('day', (DATE '2019-01-01' + (id % 2000)::INT), DATE '2024-01-01') / 1825.0::DOUBLE)) AS ds FROM h),
+b AS (SELECT query_id, id, score, round(ds, 6) AS date_score, round(score * (1 - 0.2::DOUBLE) + ds * 0.2::DOUBLE, 6) AS boosted FROM d)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, id) AS rank FROM b QUALIFY rank <= {K}""")
+def date_aware_search(spark, sf_dir):
+    p = _table(spark, sf_dir, "embeddings").withColumns({"day": F.date_add(F.lit("2019-01-01").cast("date"), F.pmod("vec_id", F.lit(2000)).cast("int")), "text": F.lit("")})
+    return search.date_aware(p, p.filter("vec_id % 20 = 0"), "2024-01-01", K, date_col="day").withColumn("rank", F.col("rank").cast("long"))
+
+
+class _Head:
+    """A generator that answers with the first 80 characters of the passage it is given."""
+
+    def answer(self, prompt: str) -> str:
+        return prompt.split("Passage:\n", 1)[1][:80]
+
+
+@_query(r"""SELECT doc_id AS id, length(text) AS original_length, length(c) AS compressed_length, c AS compressed FROM (SELECT doc_id, text, CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) < 50 THEN text ELSE regexp_replace(substr(text, 1, 80), '^\s+|\s+$', '', 'g') END AS c FROM documents)""")
+def generated_compress(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents", spread=True).select(F.col("doc_id").alias("id"), "text", F.lit("what is it about").alias("query"))
+    return answers.compress(d, "llm", _Head(), keys=("id",))
+
+
+@_query(f"""WITH {_PAIRS}, h AS (SELECT * FROM {_knn_sql('cosine', K, 'query_id <> id')}), a AS (SELECT query_id, count(*) AS n_hits, max(score) AS max_score, count(*) FILTER (score >= 0.3) AS n_relevant FROM h GROUP BY 1),
+q AS (SELECT vec_id AS query_id, repeat('x', (vec_id % 140)::INT) AS context FROM embeddings WHERE vec_id % 20 = 0)
+SELECT q.query_id, coalesce(n_hits, 0) AS n_hits, max_score, coalesce(n_relevant, 0) AS n_relevant,
+ CASE WHEN n_hits IS NULL THEN 'no_hits' WHEN max_score < 0.3 THEN 'low_similarity' WHEN n_relevant < 1 THEN 'too_few_relevant' WHEN length(context) BETWEEN 1 AND 49 THEN 'short_context' ELSE 'answer' END AS reason, reason <> 'answer' AS abstain
+FROM q LEFT JOIN a USING (query_id)""")
+def abstention_short_context(spark, sf_dir):
+    q = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.expr("repeat('x', cast(vec_id % 140 as int))").alias("context"))
+    return answers.abstention(q, _knn(spark, sf_dir, exclude_self=True), contexts=q)
 
 
 @_query("SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -83,7 +120,7 @@ def doc_dedup_md5(spark, sf_dir):
     return new.select("doc_id", "file_hash")
 
 
-_REG = """reg AS (SELECT 'doc_' || substr(md5(d.doc_id::VARCHAR), 1, 8) AS id, d.doc_id || '.' || lang AS filename, lang AS file_type, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'processed' ELSE 'failed' END AS status,
+_REG = """reg AS (SELECT 'doc_' || md5(d.doc_id::VARCHAR) AS id, d.doc_id || '.' || lang AS filename, lang AS file_type, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'processed' ELSE 'failed' END AS status,
  source AS category, CASE WHEN toxic = 1 THEN ['toxic', lang] ELSE [lang] END AS tags, n_chars AS file_size, (n_chars // 450 + 1)::BIGINT AS chunk_count, DATE '2024-01-01' + (d.doc_id % 365)::INT AS uploaded_at FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 
@@ -133,16 +170,16 @@ def cache_eviction(spark, sf_dir):
     return registry.cache_evict(c, 300, "ts", "bytes", "event_id", "user_id").select("user_id", "event_id", "bytes")
 
 
-_BOXES = [(1, 0.0, 0.0, 2.0, 2.0), (2, 1.0, 1.0, 4.0, 4.0), (3, 10.0, 10.0, 12.0, 30.0), (4, 0.0, 0.0, 100.0, 100.0)]
-
-
-@_query("WITH b(id, x0, y0, x1, y1) AS (VALUES " + ", ".join(map(str, _BOXES)) + """) SELECT a.id::BIGINT AS id_a, c.id::BIGINT AS id_b, round(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0))::DOUBLE * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1), 6) AS overlap
-FROM b a JOIN b c ON a.id <> c.id AND least(a.x1, c.x1) > greatest(a.x0, c.x0) AND least(a.y1, c.y1) > greatest(a.y0, c.y0)""")
+@_query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS id, l_quantity::DOUBLE AS x0, l_linenumber * 5.0::DOUBLE AS y0, l_quantity::DOUBLE + 10 AS x1, l_linenumber * 5.0::DOUBLE + 2 + l_quantity::DOUBLE AS y1 FROM lineitem)
+SELECT a.page, a.id AS id_a, c.id AS id_b, round((least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) / greatest((a.x1 - a.x0) * (a.y1 - a.y0), 1), 6) AS overlap
+FROM b a JOIN b c ON a.page = c.page AND a.id <> c.id AND least(a.x1, c.x1) > greatest(a.x0, c.x0) AND least(a.y1, c.y1) > greatest(a.y0, c.y0)""")
 def bbox_overlap(spark, sf_dir):
-    b = spark.createDataFrame(_BOXES, "id long, x0 double, y0 double, x1 double, y1 double")
-    x, y = (b.select(F.col("id").alias(f"id_{s}"), F.struct("x0", "y0", "x1", "y1").alias(f"box_{s}")) for s in "ab")
+    """A box for each line item, on a page for each order."""
+    q, line = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 5.0
+    b = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.struct(q.alias("x0"), line.alias("y0"), (q + 10).alias("x1"), (line + 2 + q).alias("y1")).alias("box"))
+    x, y = (b.select("page", F.col("id").alias(f"id_{s}"), F.col("box").alias(f"box_{s}")) for s in "ab")
     meet = (F.least("box_a.x1", "box_b.x1") > F.greatest("box_a.x0", "box_b.x0")) & (F.least("box_a.y1", "box_b.y1") > F.greatest("box_a.y0", "box_b.y0"))
-    return x.join(y, (F.col("id_a") != F.col("id_b")) & meet).select("id_a", "id_b", F.round(registry.bbox_overlap(F.col("box_a"), F.col("box_b")), 6).alias("overlap"))
+    return x.join(y, "page").filter((F.col("id_a") != F.col("id_b")) & meet).select("page", "id_a", "id_b", F.round(registry.bbox_overlap(F.col("box_a"), F.col("box_b")), 6).alias("overlap"))
 
 
 @_query("""WITH e AS (SELECT event_id, floor(abs(value) * 1000) / 4 AS s FROM events)
@@ -169,9 +206,9 @@ def html_text_extract(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", files.strip_markup(F.col("html")).alias("text"))
 
 
-@_query("""SELECT doc_id AS id, trim(substr(string_split(text, '.')[1], 1, 150)) AS query FROM documents WHERE length(text) >= 50 AND length(trim(substr(string_split(text, '.')[1], 1, 150))) > 20 ORDER BY doc_id LIMIT 50""")
+@_query("""SELECT doc_id AS id, trim(substr(string_split(text, '.')[1], 1, 150)) AS query FROM documents WHERE length(text) >= 50 AND length(trim(substr(string_split(text, '.')[1], 1, 150))) > 20""")
 def generated_queries(spark, sf_dir):
-    return evaluation.generated_queries(_table(spark, sf_dir, "documents"))
+    return evaluation.generated_queries(_table(spark, sf_dir, "documents"), most=None)
 
 
 @_query("""WITH f AS (SELECT event_id, event_type AS engine, abs(value) AS took, abs(value) * 4 + 1 AS audio FROM events) SELECT engine, round(avg(took / audio), 6) AS mean_rtf, round(sum(took) / sum(audio), 6) AS total_rtf, round(sum(audio) / sum(took), 6) AS speed_up FROM f GROUP BY engine""")

@@ -24,16 +24,17 @@ def index(processed: DataFrame, method: str = "sentence", size: int = 500, overl
 def add_folder(spark: SparkSession, folder: str, store: str, tags: list[str] | None = None, as_of: str | None = None, method: str = "sentence") -> dict[str, DataFrame]:
     """Read a folder into a store of three tables (registry, processed, points); files whose content is known are passed over.
 
-    Each table is appended once, processed texts and points before the registry: a job that dies leaves files unregistered,
-    and running it again gives the same ids.
+    Each table is appended once, processed texts and points before the registry: a job that dies leaves files unregistered. Running it again appends to each table only
+    what it lacks, by content and by point, so nothing stands twice.
     """
     accepted, rejected = files.validated(files.scan_folder(spark, folder))
     known = _read(spark, f"{store}/registry")
     new, duplicates = registry.fresh_documents(accepted, known.select("file_hash", "id") if known is not None else None)
-    done = process(new).withColumn("id", registry.document_id(F.col("file_hash")))
-    done.write.mode("append").parquet(f"{store}/processed")
-    stored = spark.read.parquet(f"{store}/processed").join(done.select("id"), "id", "left_semi")
-    collections.append_points(index(stored, method), f"{store}/points", "id")
+    ids = new.select(registry.document_id(F.col("file_hash")).alias("id"))
+    there = lambda name: (lambda df: ids.limit(0) if df is None else df.select("id").distinct())(_read(spark, f"{store}/{name}"))  # noqa: E731  Parquet appends of one job appear whole or not at all
+    process(new).withColumn("id", registry.document_id(F.col("file_hash"))).join(there("processed"), "id", "left_anti").write.mode("append").parquet(f"{store}/processed")
+    stored = spark.read.parquet(f"{store}/processed").join(ids, "id", "left_semi")
+    collections.append_points(index(stored.join(there("points"), "id", "left_anti"), method), f"{store}/points", "id")
     counts = spark.read.parquet(f"{store}/points").groupBy("id").agg(F.count(F.lit(1)).alias("chunk_count"))
     when = F.lit(as_of).cast("timestamp") if as_of else F.col("modificationTime")
     rows = new.select("path", "file_hash", F.col("length").alias("file_size"), F.col("extension").alias("file_type"), F.col("folder").alias("category"), when.alias("uploaded_at")).join(stored.select("file_hash", "id", "success", "error"), "file_hash").join(counts, "id", "left")

@@ -8,34 +8,56 @@ from pyspark.sql import functions as F
 
 from corvane.operators import answers, lexical, search
 
-# Templates are text with the places {context} and {question}; the wording is our own.
-TEMPLATES = {
-    "basic": "Use only the context below.\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:",
-    "strict": "Answer from the context alone. If it does not hold the answer, say that there is no information.\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:",
-    "quotes": "Answer with short quotations from the context and their numbers.\n\nContext:\n{context}\n\nQuestion: {question}\nAnswer:",
-    "summary": "Summarise what the context says about the question.\n\nContext:\n{context}\n\nQuestion: {question}\nSummary:",
-    "timeline": "List what the context says about the question in order of time, with times where given.\n\nContext:\n{context}\n\nQuestion: {question}\nTimeline:",
+# Templates are text with the places {context} and {question}, by language and name; the wording is our own.
+_ASKED = {"en": "Context:\n{context}\n\nQuestion: {question}\n\nAnswer:", "vi": "Ngữ cảnh:\n{context}\n\nCâu hỏi: {question}\n\nTrả lời:"}
+_RULES = {
+    "en": {
+        "basic_qa": "Use only the context below. If it does not hold the answer, say so.",
+        "audio_qa": "The context is a transcript with times. Give the time [MM:SS] of what you use.",
+        "factual_qa": "State facts from the context only, briefly and exactly, with figures as written.",
+        "cot_qa": "Go through the context step by step, say which parts bear on the question, then conclude.",
+        "strict_qa": "Answer from the context alone. If it does not hold the answer, say that there is no information. Do not guess.",
+        "citation_required": "Put the number of the source, as [1], after every statement. Leave out statements without a source.",
+        "conflict_aware": "Sources may disagree. Name each version with its source and date, and say which is the newest.",
+        "safe_abstention": "Judge first whether the context is enough. If it is not, say what is missing instead of answering.",
+    },
+    "vi": {
+        "basic_qa": "Chỉ dùng ngữ cảnh dưới đây. Nếu không có câu trả lời, hãy nói rõ.",
+        "audio_qa": "Ngữ cảnh là bản ghi có mốc thời gian. Nêu mốc [MM:SS] của phần được dùng.",
+        "factual_qa": "Chỉ nêu dữ kiện có trong ngữ cảnh, ngắn gọn, giữ nguyên số liệu.",
+        "cot_qa": "Xét từng phần của ngữ cảnh, nêu phần liên quan rồi kết luận.",
+        "strict_qa": "Chỉ trả lời từ ngữ cảnh. Nếu không có, hãy nói là không có thông tin. Không suy đoán.",
+        "citation_required": "Ghi số nguồn, như [1], sau mỗi ý. Bỏ ý không có nguồn.",
+        "conflict_aware": "Các nguồn có thể mâu thuẫn. Nêu từng phiên bản với nguồn và ngày, và cho biết bản mới nhất.",
+        "version_compare": "So sánh các phiên bản trong ngữ cảnh theo thời gian: điểm giống, điểm khác, bản đang có hiệu lực.",
+        "safe_abstention": "Trước hết xét ngữ cảnh có đủ không. Nếu không đủ, nêu phần còn thiếu thay vì trả lời.",
+    },
 }
+TEMPLATES = {(lang, name): f"{rule}\n\n{_ASKED[lang]}" for lang, rules in _RULES.items() for name, rule in rules.items()}
 
 
-def add_template(name: str, text: str) -> None:
-    TEMPLATES[name] = text
+def add_template(name: str, text: str, language: str = "en") -> None:
+    TEMPLATES[language, name] = text
 
 
-def prompt(template: str, context, question):
-    """The prompt column; an unknown name gives the basic template."""
-    t = F.lit(TEMPLATES.get(template, TEMPLATES["basic"]))
+def template_names(language: str = "en") -> list[str]:
+    return [name for lang, name in TEMPLATES if lang == language]
+
+
+def prompt(template: str, context, question, language: str = "en"):
+    """The prompt column; an unknown name gives the language's basic_qa."""
+    t = F.lit(TEMPLATES.get((language, template), TEMPLATES[language, "basic_qa"]))
     return F.replace(F.replace(t, F.lit("{context}"), context), F.lit("{question}"), question)
 
 
 def retrieve(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Hybrid hits (query_id, id, score, rank) of all questions (query_id, question)."""
     near = search.knn(search.embed(docs.select(id_col, text_col), text_col), search.embed(questions, "question"), 2 * k, id_col=id_col, query_id="query_id")
-    scored = lexical.bm25_scores(lexical.postings(docs, id_col, text_col), lexical.corpus_stats(docs, id_col, text_col), lexical.query_terms(questions, "query_id", "question"))
-    return search.hybrid(near, scored, k, alpha)
+    terms = lexical.query_terms(questions, "query_id", "question")
+    return search.hybrid(near, lexical.bm25_scores(*lexical.query_index(docs, terms, id_col, text_col), terms), k, alpha)
 
 
-def answer(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7, budget: int = 1000, template: str = "basic", least: float = 0.3, generator=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def answer(docs: DataFrame, questions: DataFrame, k: int = 5, alpha: float = 0.7, budget: int = 1000, template: str = "basic_qa", least: float = 0.3, generator=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, context, prompt, answer, abstain, reason, n_claims, coverage, confidence, level, action).
 
     Retrieve, abstain early where hits are weak, compress, build the context, answer by extraction (the best
@@ -81,8 +103,7 @@ def retrieve_and_compress(docs: DataFrame, questions: DataFrame, k: int = 5, id_
 
 def multi_query(docs: DataFrame, questions: DataFrame, k: int = 5, expansions: int = 3, fusion: str = "rrf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each question's variants are searched as questions of their own, 2k hits each, then fused to k."""
-    v = lexical.expand_synonyms(questions, "query_id", "question", expansions)
-    as_questions = v.select((F.col("query_id") * 100 + F.col("position")).alias("query_id"), F.col("variant").alias("question"))
-    hits = retrieve(docs, as_questions, 2 * k, id_col=id_col, text_col=text_col)
-    lists = hits.select(F.floor(F.col("query_id") / 100).cast("long").alias("query_id"), F.col("query_id").alias("list_id"), "id", "score", "rank")
+    v = lexical.expand_synonyms(questions, "query_id", "question", expansions).withColumn("list_id", F.xxhash64(F.col("query_id").cast("string"), "position"))
+    hits = retrieve(docs, v.select(F.col("list_id").alias("query_id"), F.col("variant").alias("question")), 2 * k, id_col=id_col, text_col=text_col)
+    lists = hits.withColumnRenamed("query_id", "list_id").join(v.select("query_id", "list_id"), "list_id").select("query_id", "list_id", "id", "score", "rank")
     return search.reciprocal_rank_fusion(lists, k) if fusion == "rrf" else search.score_fusion(lists, k)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import words
+from corvane.sources.pdf import read_pdf
 
 # File types by folder.
 FOLDERS = {
@@ -131,24 +132,48 @@ def read_pptx(raw: bytes) -> list[str]:
     return out
 
 
-def sheet_text(rows: list[list[str]], most_rows: int = 10_000) -> str:
-    """Header, a rule of 50 dashes, then the rows, cells joined by " | "; empty rows go."""
-    kept = [r for r in rows if any(c.strip() for c in r)][: most_rows + 1]
-    return "\n".join([" | ".join(kept[0]), "-" * 50, *(" | ".join(r) for r in kept[1:])]) if kept else ""
+def sheet_text(rows: list[list[str]], most_rows: int | None = None) -> str:
+    """Header, a rule of 50 dashes, then the rows, cells joined by " | "; empty rows go. With ``most_rows``, a last line says how many more there are."""
+    kept = [r for r in rows if any(c.strip() for c in r)]
+    shown = kept if most_rows is None else kept[: most_rows + 1]
+    more = [f"[{len(kept) - len(shown)} more rows]"] if len(shown) < len(kept) else []
+    return "\n".join([" | ".join(shown[0]), "-" * 50, *(" | ".join(r) for r in shown[1:]), *more]) if shown else ""
+
+
+def _column(reference: str, default: int) -> int:
+    """Number of a cell's column, from 0: of B7 it is 1."""
+    letters = re.match(r"[A-Z]+", reference)
+    out = 0
+    for c in letters[0] if letters else "":
+        out = out * 26 + ord(c) - 64
+    return out - 1 if letters else default
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, file) of the sheets in the workbook's order; sheets that it does not list follow by number."""
+    files_ = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1]))
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(z.namelist()):
+        return [("", n) for n in files_]
+    target = {r.attrib["Id"]: "xl/" + r.attrib["Target"].removeprefix("/xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if "Id" in r.attrib}
+    listed = [(s.attrib.get("name", ""), target.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), ""), "")) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if s.tag.endswith("}sheet")]
+    listed = [(name, n) for name, n in listed if n in files_]
+    return listed + [("", n) for n in files_ if n not in {n for _, n in listed}]
 
 
 def read_xlsx(raw: bytes) -> list[str]:
-    """One text for each sheet."""
+    """One text for each sheet, in the workbook's order; cells stand in the columns that their references name."""
     z = zipfile.ZipFile(io.BytesIO(raw))
     shared = [_xml_text(s, "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
     out = []
-    for n in sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml$", n)[1])):
+    for _, n in _sheets(z):
         rows = []
         for r in (x for x in ElementTree.fromstring(z.read(n)).iter() if x.tag.endswith("}row")):
-            cells = []
+            cells: list[str] = []
             for c in (x for x in r if x.tag.endswith("}c")):
                 v = _xml_text(c, "v") or _xml_text(c, "t")
-                cells.append(shared[int(v)] if c.attrib.get("t") == "s" and v else v)
+                at = _column(c.attrib.get("r", ""), len(cells))
+                cells += [""] * (at + 1 - len(cells))
+                cells[at] = shared[int(v)] if c.attrib.get("t") == "s" and v else v
             rows.append(cells)
         out.append(sheet_text(rows))
     return out
@@ -162,14 +187,29 @@ def read_table(sep: str) -> Callable[[bytes], list[str]]:
     return lambda raw: [sheet_text(list(csv.reader(io.StringIO(decode_bytes(raw)[0]), delimiter=sep)))]
 
 
-#: Extractors by extension: bytes to parts. Users add their own; PDF, OCR and speech need a model or library and have none here.
-EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {e: read_text for f in ("text", "code") for e in FOLDERS[f].split()} | {"csv": read_table(","), "tsv": read_table("\t"), "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
+#: Extractors by extension: bytes to parts. Users add their own; images and speech need a model (:func:`register_model_extractor`) and have none here.
+EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {e: read_text for f in ("text", "code") for e in FOLDERS[f].split()} | {"csv": read_table(","), "tsv": read_table("\t"), "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx, "pdf": read_pdf}
 
 
 def register_extractor(ext: str, f: Callable[[bytes], list[str]]) -> None:
     EXTRACTORS[ext.lower().lstrip(".")] = f
 
 
+def register_model_extractor(model, kind: str) -> None:
+    """Make a provider the extractor of all image types (``recognise(bytes)`` to boxes with text and confidence) or of all audio and video types (``transcribe(bytes)`` to segments with start, end and text)."""
+
+    def boxes(raw: bytes) -> list[str]:
+        return ["\n".join(b["text"] for b in model.recognise(raw) if b.get("confidence", 1.0) >= 0.5)]
+
+    def speech(raw: bytes) -> list[str]:
+        stamp = lambda s: f"{int(s) // 60:02d}:{int(s) % 60:02d}"
+        return ["\n".join(f"[{stamp(s['start'])} - {stamp(s['end'])}] {s['text']}" for s in model.transcribe(raw)["segments"])]
+
+    for f in {"image": ("image",), "speech": ("audio", "video")}[kind]:
+        for ext in FOLDERS[f].split():
+            EXTRACTORS[ext] = boxes if kind == "image" else speech
+
+
 def extract(files_: DataFrame) -> DataFrame:
     """(path, extension, file_hash, extraction_type, parts, content, success, error, lines, words, chars): a failed file is a row, not a failed job."""
     extractors = dict(EXTRACTORS)

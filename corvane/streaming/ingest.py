@@ -16,5 +16,5 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def ingest(files: DataFrame, table: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
     """Append each new content once to a Parquet folder; state is kept for ``late`` by modification time, so it does not grow for ever. Runs what is there, then stops."""
     fresh = files.withColumn("file_hash", F.md5("content")).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["file_hash"])
-    rows = fresh.select(F.concat(F.lit("doc_"), F.left("file_hash", F.lit(8))).alias("id"), "path", "file_hash", F.col("length").alias("file_size"), F.col("content"), F.col("modificationTime").alias("uploaded_at"))
+    rows = fresh.select(F.concat(F.lit("doc_"), F.col("file_hash")).alias("id"), "path", "file_hash", F.col("length").alias("file_size"), F.col("content"), F.col("modificationTime").alias("uploaded_at"))
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", table).outputMode("append").trigger(availableNow=True).start()

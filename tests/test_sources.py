@@ -143,6 +143,8 @@ def test_templates(spark):
     rag.add_template("short", "{question}|{context}")
     assert spark.range(1).select(rag.prompt("short", F.lit("c"), F.lit("q"))).first()[0] == "q|c"
     assert "Question: q" in spark.range(1).select(rag.prompt("unknown", F.lit("c"), F.lit("q"))).first()[0]
+    assert "Câu hỏi: q" in spark.range(1).select(rag.prompt("version_compare", F.lit("c"), F.lit("q"), "vi")).first()[0]
+    assert len(rag.template_names("vi")) == 9 and {"basic_qa", "audio_qa", "factual_qa", "cot_qa", "strict_qa", "citation_required", "conflict_aware", "safe_abstention"} <= set(rag.template_names())
 
 
 def test_lru_cache():
