@@ -73,9 +73,14 @@ def query_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     return kept.filter("token is not null").drop("first"), stats
 
 
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, df): documents that hold each token. Tokens are made distinct inside each row, so that counting needs no order."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def bm25_idf(index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(token, df, idf): idf = ln((n - df + 0.5) / (df + 0.5) + 1)."""
-    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    """(token, df, idf): idf = ln((n - df + 0.5) / (df + 0.5) + 1). ``index``: postings, or (token, df)."""
+    df = index if "df" in index.columns else index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(stats.select("n"))).select("token", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 

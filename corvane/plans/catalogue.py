@@ -41,7 +41,7 @@ bm AS (SELECT query_id, id, round(sum(idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 +
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, q = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    docs, q = _table(spark, sf_dir, "documents", spread=True), _table(spark, sf_dir, "benchmark")
     terms = lexical.query_terms(q, "item_id", "text")
     return lexical.bm25_scores(*lexical.query_index(docs, terms), terms).withColumn("score", F.round("score", 6)).filter("score > 0")
 
@@ -53,14 +53,14 @@ def bm25_topk(spark, sf_dir):
 
 @_query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return lexical.bm25_idf(lexical.postings(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    docs = _table(spark, sf_dir, "documents", spread=True)
+    return lexical.bm25_idf(lexical.document_frequencies(docs), docs.agg(F.count(F.lit(1)).alias("n"))).withColumn("idf", F.round("idf", 6))
 
 
 @_query(rf"""SELECT lang, token, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM
  (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{_TOK}')) AS token FROM documents) GROUP BY ALL)) WHERE rank <= 10""")
 def term_freq_by_lang(spark, sf_dir):
-    n = _table(spark, sf_dir, "documents").select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    n = _table(spark, sf_dir, "documents", spread=True).select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "token")
     return n.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10")
 

@@ -7,11 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes for each core below which a table of few files is dealt anew.
+SMALL = 16 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """A Parquet table. With ``spread`` a scan of fewer partitions than the cluster has cores is dealt to all cores: for heavy work on each row of a small table. Larger tables are read as they are."""
+    """A Parquet table; ``spread`` deals a small one to all cores, see :func:`spread_rows`."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """For heavy work on each row: a table of fewer files than cores, and of at most SMALL bytes a core, is dealt to all cores. Larger ones are read as they are.
+
+    Files and bytes decide, not the number of splits: splits of one row group leave all its rows to one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
