@@ -15,6 +15,7 @@ from corvane.llm.html_extract import extract
 from corvane.llm.license_scan import LICENSE_SQL, scan
 from corvane.llm.line_dedup import LINE_DEDUP_SQL, line_dedup
 from corvane.llm.mixing import mix
+from corvane.llm.secret_scan import secret_digest
 from corvane.llm.simhash import simhash_components
 from corvane.llm.substring_dedup import substring_dedup
 from corvane.llm.telephony import describe, store_text
@@ -70,5 +71,9 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store_text(documents(spark, sf_dir, spread=True))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir, spread=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony, op11_secret_scan)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
