@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.alignment import alignment_digest
 from corvane.llm.common import documents
 from corvane.llm.crf_quality import quality
 from corvane.llm.exact_dedup import exact_dedup
@@ -75,5 +76,9 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(documents(spark, sf_dir, spread=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony, op11_secret_scan)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_mix_sources, op4_crf_quality, op5_simhash, op6_license_scan, op7_html_text, op8_sentencepiece, op9_line_dedup, op10_telephony, op11_secret_scan, op12_token_alignment)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_license_scan": LICENSE_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
