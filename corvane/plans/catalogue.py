@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import metrics as M
 from corvane.functions import text as T
-from corvane.operators import answers, chunking, evaluation, lexical, search
+from corvane.operators import answers, chunking, evaluation, lexical, lexical_index, search, vector_index
+from corvane.sources.tables import checkpoint_dir, cut
 from corvane.sources.tables import table as _table
 
 QUERIES: dict = {}
@@ -46,11 +48,24 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_scores(*lexical.query_index(docs, terms), terms).withColumn("score", F.round("score", 6)).filter("score > 0")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexical_index.Index:
+    """An index of the documents, in the shared folder."""
+    path = f"{checkpoint_dir(spark)}/lexical-{uuid.uuid4().hex}"
+    lexical_index.build(_table(spark, sf_dir, "documents"), path)
+    return lexical_index.Index(spark, path)
+
+
 @_query(f"WITH {_BM25} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0) WHERE rank <= {K}")
 def bm25_topk(spark, sf_dir):
     return lexical.top_k(_bm25(spark, sf_dir), K).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_query(SQL["bm25_topk"])
+def bm25_index_topk(spark, sf_dir):
+    hits, _ = lexical_index.search(_index(spark, sf_dir), _table(spark, sf_dir, "benchmark"), K, "item_id", "text")
+    return hits.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @_query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents", spread=True)
@@ -119,6 +134,27 @@ def vector_knn_lsh(spark, sf_dir):
     return search.knn_lsh(p, p.filter(F.col("vec_id") % EVERY == 0), K)
 
 
+def _ann(spark, sf_dir):
+    """Approximate neighbours by an index of all embeddings, in the shared folder."""
+    p, path = _table(spark, sf_dir, "embeddings"), f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(p, path, payload=("label",))
+    return vector_index.search(vector_index.VectorIndex(spark, path), p, p.filter(F.col("vec_id") % EVERY == 0), K)
+
+
+@_query()
+def vector_knn_ann(spark, sf_dir):
+    return _ann(spark, sf_dir)
+
+
+@_query()
+def vector_ann_recall(spark, sf_dir):
+    """One row: how many of the exact neighbours the index finds, and the shares of all rows whose codes and whole vectors a query meets."""
+    found, n = cut(_ann(spark, sf_dir), small=True), _table(spark, sf_dir, "embeddings").count()
+    both = _knn(spark, sf_dir).select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    shares = found.groupBy("query_id").agg(F.first("scanned").alias("s"), F.first("compared").alias("c")).agg((F.avg("s") / n).alias("scanned"), (F.avg("c") / n).alias("compared"))
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") / F.count(F.lit(1))).alias("recall")).crossJoin(F.broadcast(shares))
+
+
 _EMB = rf"""
 dtok AS (SELECT id, 'd' AS kind, unnest(t) AS token FROM toks UNION ALL SELECT item_id, 'q', unnest(regexp_extract_all(lower(coalesce(text, '')), '{_TOK}')) FROM benchmark),
 tb AS (SELECT token, ('0x' || substr(md5(token), 1, 8))::BIGINT % 64 AS b, CASE WHEN substr(md5(token), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM (SELECT DISTINCT token FROM dtok)),
