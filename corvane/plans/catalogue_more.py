@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import answers, conflict, evaluation, registry, search
+from corvane.operators import answers, conflict, evaluation, registry, search, spatial
 from corvane.plans.catalogue import _PAIRS, K, _knn, _knn_sql, _query, _table
 from corvane.sources import files
 
@@ -256,3 +256,17 @@ def rag_answers(spark, sf_dir):
 
     q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return rag.answer(_table(spark, sf_dir, "documents"), q)
+
+
+#: A box for each order: prices across, dates down; orders of the lowest priority lie together in one place.
+_ORDER_BOXES = """SELECT o_orderkey AS id, x0, y0, x0 + 20 + o_custkey % 180 AS x1, y0 + 0.05::DOUBLE * (1 + o_orderkey % 37) AS y1 FROM (SELECT *, CASE WHEN o_orderpriority LIKE '5%' THEN o_totalprice / 50 ELSE o_totalprice END::DOUBLE AS x0, o_orderkey * 7919 % 100000 / 100.0::DOUBLE AS y0 FROM orders)"""
+
+
+@_query(f"""WITH b AS ({_ORDER_BOXES}) SELECT p.id AS id_a, q.id AS id_b, round((least(p.x1, q.x1) - greatest(p.x0, q.x0)) * (least(p.y1, q.y1) - greatest(p.y0, q.y0)), 4) AS area
+FROM b p JOIN b q ON p.id < q.id AND p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1""")
+def bbox_join(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    x0 = F.when(F.col("o_orderpriority").startswith("5"), F.col("o_totalprice") / 50).otherwise(F.col("o_totalprice")).cast("double")
+    y0 = ((F.col("o_orderkey").cast("long") * 7919) % 100000) / F.lit(100.0)
+    b = o.select(F.col("o_orderkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("o_custkey") % 180).alias("x1"), (y0 + 0.05 * (1 + F.col("o_orderkey") % 37)).alias("y1"))
+    return spatial.overlapping(b).select("id_a", "id_b", F.round("area", 4).alias("area"))
