@@ -64,13 +64,14 @@ class ByteLevel:
             import tiktoken
 
             own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda text: np.array(own.encode_ordinary(text), np.int64)
+            # without a normaliser the tokens' bytes are the text's, whatever it is
+            self.spells, self.encode = True, lambda text: own.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
         else:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_str(raw.decode())
             whole.encode_special_tokens = True
-            self.encode = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.int64)
+            self.spells, self.encode = False, lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class Pieces:
@@ -105,8 +106,10 @@ class Pieces:
                 self.memory[c] = np.array(ids, "<i4").tobytes() if spelt else None
         out = []
         for s in split:
-            parts = [self.memory[c] for c in s]
-            out.append(None if None in parts else np.frombuffer(b"".join(parts), "<i4").astype(np.int64))
+            try:
+                out.append(np.frombuffer(b"".join([self.memory[c] for c in s]), "<i4").astype(np.int64))
+            except TypeError:  # a cut that isn't spelt
+                out.append(None)
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
         for c in new:
@@ -165,7 +168,7 @@ def token_events(df: DataFrame, shared, id_col: str, text_col: str) -> DataFrame
                 out: list[tuple] = []
                 for i, (text, ids_b) in enumerate(zip(texts, b.encode_all(texts))):
                     ids_a = a.encode(" " + text) if text and ids_b is not None else None
-                    if ids_a is None or b"".join([a.bytes_of[x] for x in ids_a.tolist()]) != b" " + text.encode():
+                    if ids_a is None or not a.spells and b"".join([a.bytes_of[x] for x in ids_a.tolist()]) != b" " + text.encode():
                         out.append((i, 0, 0, 0, b""))
                         continue
                     for side, ids in enumerate((ids_a, ids_b)):
