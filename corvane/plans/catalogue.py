@@ -123,7 +123,19 @@ def mmr_compat(spark, sf_dir):
     return search.mmr_compat(_knn(spark, sf_dir, 20), 5)
 
 
-@_query()
+def _mmr_sql(k: int, weight: float = 0.5) -> str:
+    """Each step picks the row of the largest gain among those that are left; written out step by step."""
+    steps = ["p1 AS (SELECT query_id, id, score, 1 AS rank FROM h WHERE rank = 1)"]
+    for i in range(2, k + 1):
+        done = " UNION ALL ".join(f"SELECT query_id, id FROM p{j}" for j in range(1, i))
+        steps.append(f"""p{i} AS (SELECT h.query_id, h.id, any_value(h.score) AS score, {i} AS rank FROM h JOIN ({done}) c ON h.query_id = c.query_id JOIN u x ON x.id = h.id JOIN u y ON y.id = c.id
+  WHERE (h.query_id, h.id) NOT IN (SELECT (query_id, id) FROM ({done})) GROUP BY h.query_id, h.id
+  QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY {weight} * any_value(h.score) - (1 - {weight}) * max(list_dot_product(x.v, y.v)) DESC, any_value(h.score) DESC, h.id) = 1)""")
+    every = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1))
+    return f"WITH {_PAIRS}, h AS {_knn_sql('cosine', 20)}, u AS (SELECT vec_id AS id, list_transform(v, lambda z: z / sqrt(list_dot_product(v, v))) AS v FROM e), {', '.join(steps)} SELECT query_id, id, score, rank::INTEGER AS rank FROM ({every})"
+
+
+@_query(_mmr_sql(5))
 def mmr_diverse(spark, sf_dir):
     return search.true_mmr(_knn(spark, sf_dir, 20), _table(spark, sf_dir, "embeddings"), 5)
 
@@ -309,7 +321,15 @@ def bleu_simplified(spark, sf_dir):
     return _qa(spark, sf_dir).select("conv_id", "turn", F.round(M.bleu(F.col("prediction"), F.col("truth")), 6).alias("bleu"))
 
 
-@_query()
+_WER = r"""WITH RECURSIVE qa AS (SELECT conv_id, turn, coalesce(text, '') AS p, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS t, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations),
+w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(lower(p), '\s+'), lambda x: x <> '') AS h FROM qa WHERE nx IS NOT NULL),
+dp AS (SELECT conv_id, turn, r, h, 0 AS i, range(0, len(h) + 1) AS row FROM w
+  UNION ALL SELECT conv_id, turn, r, h, i + 1, list_transform(range(0, len(h) + 1), lambda j: j + list_min(list_transform(best[1:j + 1], lambda b, k: b - (k - 1))))
+  FROM (SELECT *, list_transform(range(0, len(h) + 1), lambda j: CASE WHEN j = 0 THEN (i + 1)::BIGINT ELSE least(row[j + 1] + 1, row[j] + (h[j] <> r[i + 1])::INT) END) AS best FROM dp WHERE i < len(r)))
+SELECT conv_id, turn, round(row[len(row)]::DOUBLE / greatest(len(r), 1), 6) AS wer FROM dp WHERE i = len(r)"""
+
+
+@_query(_WER)
 def wer_words(spark, sf_dir):
     return _qa(spark, sf_dir).select("conv_id", "turn", F.round(M.wer(F.col("truth"), F.col("prediction")), 6).alias("wer"))
 
@@ -329,7 +349,17 @@ def chunk_sentences(spark, sf_dir):
     return chunking.sentence_rows(_table(spark, sf_dir, "documents")).withColumn("position", F.col("position").cast("long"))
 
 
-@_query()
+_PACKED = r"""WITH RECURSIVE l AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, len(a) AS n, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM l),
+p AS (SELECT doc_id, n, 1 AS i, s AS now, NULL::VARCHAR AS done FROM s WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.n, p.i + 1, CASE WHEN now <> '' AND length(now) + length(s.s) > 500 THEN right(now, 50) || ' ' || s.s WHEN now <> '' THEN now || ' ' || s.s ELSE s.s END, CASE WHEN now <> '' AND length(now) + length(s.s) > 500 THEN now END
+  FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1),
+c AS (SELECT doc_id, i, regexp_replace(done, '^\s+|\s+$', '', 'g') AS chunk FROM p WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, regexp_replace(now, '^\s+|\s+$', '', 'g') FROM p WHERE i = n),
+k AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM c WHERE chunk <> '')
+SELECT doc_id, pos::INTEGER AS chunk_index, chunk, doc_id || '_chunk_' || lpad(pos::VARCHAR, 4, '0') AS chunk_id, length(chunk) AS char_count, len(list_filter(regexp_split_to_array(chunk, '\s+'), lambda x: x <> '')) AS word_count FROM k"""
+
+
+@_query(_PACKED)
 def chunk_sentence_packed(spark, sf_dir):
     return chunking.chunk(_table(spark, sf_dir, "documents", spread=True), "sentence")
 
