@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import answers, conflict, evaluation, registry, search, spatial
-from corvane.plans.catalogue import _PAIRS, K, _knn, _knn_sql, _query, _table
+from corvane.plans.catalogue import _PACKED, _PAIRS, K, _knn, _knn_sql, _query, _table
 from corvane.sources import files
 
 
@@ -270,3 +270,31 @@ def bbox_join(spark, sf_dir):
     y0 = ((F.col("o_orderkey").cast("long") * 7919) % 100000) / F.lit(100.0)
     b = o.select(F.col("o_orderkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 20 + F.col("o_custkey") % 180).alias("x1"), (y0 + 0.05 * (1 + F.col("o_orderkey") % 37)).alias("y1"))
     return spatial.overlapping(b).select("id_a", "id_b", F.round("area", 4).alias("area"))
+
+
+@_query(_PACKED)
+def chunk_sentence_udtf(spark, sf_dir):
+    """Sentence packing by the table function, as SQL calls it."""
+    from corvane.functions import table_functions
+
+    table_functions.register(spark)
+    docs = _table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    rows = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk_text(d.text, 'sentence', 500, 50) AS c", docs=docs)
+    return rows.select("doc_id", "chunk_index", "chunk", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.lpad(F.col("chunk_index").cast("string"), 4, "0")).alias("chunk_id"), "char_count", "word_count")
+
+
+_OVER = "now <> '' AND length(now) + length(s.t) > 500"
+
+
+@_query(rf"""WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, coalesce(text, '') AS t, turn * 2.0::DOUBLE AS a, turn * 2.0::DOUBLE + 1.5::DOUBLE AS b FROM conversations),
+p AS (SELECT conv_id, i, t AS now, a, b, 1::BIGINT AS n, NULL::VARCHAR AS done, a AS da, b AS db, 0::BIGINT AS dn FROM s WHERE i = 1
+  UNION ALL SELECT p.conv_id, s.i, CASE WHEN {_OVER} THEN right(now, 50) || ' ' || s.t WHEN now <> '' THEN now || ' ' || s.t ELSE s.t END, CASE WHEN {_OVER} THEN s.a ELSE p.a END, s.b, CASE WHEN {_OVER} THEN 1 ELSE p.n + 1 END, CASE WHEN {_OVER} THEN now END, p.a, p.b, p.n
+  FROM p JOIN s ON s.conv_id = p.conv_id AND s.i = p.i + 1),
+c AS (SELECT conv_id, i, done AS t, da AS a, db AS b, dn AS n FROM p WHERE done IS NOT NULL UNION ALL SELECT conv_id, i + 1, now, a, b, n FROM p WHERE now <> '' AND (conv_id, i) IN (SELECT (conv_id, max(i)) FROM s GROUP BY conv_id))
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER AS chunk_index, regexp_replace(t, '^\s+|\s+$', '', 'g') AS text, a AS start_time, b AS end_time, n AS n_segments, length(t) AS char_count, b - a AS duration, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS word_count FROM c""")
+def transcript_segments(spark, sf_dir):
+    """Conversations as timed segments, packed in their order by the table function: one row at a time, no conversation is gathered."""
+    from corvane.functions import table_functions
+
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1.5).alias("end"))
+    return table_functions.packed(c, ["conv_id"], ["turn"]).drop("turn")
