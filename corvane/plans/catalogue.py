@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import metrics as M
 from corvane.functions import text as T
-from corvane.operators import answers, chunking, evaluation, lexical, lexical_index, search, vector_index
+from corvane.operators import answers, chunking, evaluation, lexical, lexical_index, ordered, search, vector_index
 from corvane.sources.tables import checkpoint_dir, cut
 from corvane.sources.tables import table as _table
 
@@ -386,11 +386,15 @@ t AS (SELECT label, vec_id, round(list_dot_product(v, u) / (sqrt(list_dot_produc
 b AS (SELECT label, vec_id, similarity, coalesce(similarity < low, false) AS is_break FROM t JOIN q USING (label))
 SELECT label, vec_id, similarity, is_break, sum(is_break::BIGINT) OVER (PARTITION BY label ORDER BY vec_id)::BIGINT AS block FROM b""")
 def semantic_breaks(spark, sf_dir):
+    """The row before and the number of breaks so far over ranges of (label, id): a label may hold any share of the rows."""
     from corvane.functions.vectors import cosine
 
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = _table(spark, sf_dir, "embeddings").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.lag("embedding").over(w)), 6).alias("similarity"))
-    return chunking.break_groups(e.withColumn("similarity", F.when(F.row_number().over(w) > 1, F.col("similarity"))), "label", "vec_id").select("label", "vec_id", "similarity", "is_break", "block")
+    e = ordered.dealt_in_order(_table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id")
+    steps = ordered.with_previous(e, "label", "vec_id", ["embedding"])
+    steps = steps.select("label", "vec_id", ordered.PART, F.when(~F.col("is_first"), F.round(cosine(F.col("embedding"), F.col("previous_embedding")), 6)).alias("similarity"))
+    low = steps.groupBy(F.col("label").alias("its")).agg(F.percentile("similarity", F.lit(0.05)).alias("low"))
+    flagged = steps.join(low, F.col("label").eqNullSafe(F.col("its"))).withColumn("is_break", F.coalesce(F.col("similarity") < F.col("low"), F.lit(False))).withColumn("one", F.col("is_break").cast("long"))
+    return ordered.with_running_sum(flagged, "label", "vec_id", "one", "block").select("label", "vec_id", "similarity", "is_break", "block")
 
 
 _TOP = f"top AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0) WHERE rank <= 5)"
