@@ -298,3 +298,20 @@ def transcript_segments(spark, sf_dir):
 
     c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1.5).alias("end"))
     return table_functions.packed(c, ["conv_id"], ["turn"]).drop("turn")
+
+
+#: Phrases of three words, at every fifth place of the benchmark's texts.
+_TRIPLES = "w AS (SELECT list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS a FROM benchmark), i AS (SELECT a, unnest(generate_series(1, len(a) - 2, 5)) AS i FROM w), g AS (SELECT DISTINCT a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] AS phrase FROM i)"
+
+
+@_query(f"WITH {_TRIPLES} SELECT phrase, count(*) AS n_docs, sum(strpos(lower(text), phrase) - 1)::BIGINT AS first_places FROM documents JOIN g ON contains(lower(text), phrase) GROUP BY phrase")
+def phrase_matches(spark, sf_dir):
+    """In how many documents each of many phrases stands, and the sum of its first places: one walk over the texts, whatever the number of phrases."""
+    from corvane.functions import phrases
+
+    a = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
+    words = _table(spark, sf_dir, "benchmark").select(a.alias("a")).filter("size(a) >= 3").select("a", F.explode(F.sequence(F.lit(0), F.size("a") - 3, F.lit(5))).alias("i"))
+    asked = words.select(F.concat_ws(" ", *[F.get("a", F.col("i") + k) for k in range(3)]).alias("phrase")).distinct()
+    hits = phrases.phrase_places(_table(spark, sf_dir, "documents", spread=True), asked.withColumn("phrase_id", F.col("phrase")))
+    first = hits.groupBy("doc_id", F.col("phrase_id").alias("phrase")).agg(F.min("start").alias("start"))
+    return first.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("start").cast("long").alias("first_places"))
