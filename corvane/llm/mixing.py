@@ -43,41 +43,47 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST, steps: int
 
     Minimise sum r log r - r over the documents' rates r <= most, subject to sum r * size = target
     for each source. The optimum is r = min(most, exp(lam * z)) with z = size / mean size of the source; lam
-    is the root of an increasing function, whose Newton steps are taken for all sources at once,
-    each step one aggregation of ``cells`` (source, size, n), the counts of documents by size. A step that
-    leaves the bracket is halved. Sums are taken over decimals, so that they don't depend
-    on the order of tasks. No table of documents and no table of sources reaches the driver: it sees
+    is the root of an increasing function, whose Newton steps are taken over the source's counts by size: one row a
+    source holds them in order of size, so sums don't depend on the order of tasks. There are as many as texts have different numbers of words, whatever the
+    number of documents. A step that leaves the bracket is halved. All steps are one job; the driver sees
     whether any source has not converged; not to converge in ``steps`` is an error.
     """
-    z = F.col("size") / F.col("unit")
+    top = F.log(F.lit(float(most)))
     base = (
-        cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("total"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+        cells.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("total"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"), F.array_sort(F.collect_list(F.when(F.col("size") > 0, F.struct(F.col("size").cast("double").alias("size"), F.col("n").cast("double").alias("n"))))).alias("counts"))
         .join(targets.select(F.col("source").alias("ts"), "target"), F.col("source").eqNullSafe(F.col("ts")))
         .withColumn("unit", F.greatest(F.col("total") / F.col("docs"), F.lit(1e-9)))
-        .withColumn("hi", F.log(F.lit(float(most))) * F.col("unit") / F.coalesce("least", F.lit(1)))
+        .withColumn("hi", top * F.col("unit") / F.coalesce("least", F.lit(1)))
         .withColumn("lo", F.lit(-1e4) * F.col("unit") / F.coalesce("least", F.lit(1)))
         # nothing to solve: no words, or every document at its most
         .withColumn("done", (F.col("total") == 0) | (F.col("target") >= F.col("total") * F.lit(float(most)) * (1 - 1e-12)))
         .withColumn("lam", F.when(F.col("done"), F.col("hi")).otherwise(F.lit(0.0)))
-        .select("source", "target", "unit", "lo", "hi", "lam", "done")
     )
-    state = cut(base, small=True)
-    exact = lambda x: F.sum(x.cast("decimal(38,12)")).cast("double")
-    for step in range(steps + 1):
-        if not state.filter(~F.col("done")).limit(1).count():
-            break
-        if step == steps:
-            raise RuntimeError(f"rates have not converged after {steps} Newton steps")
-        s = state.filter(~F.col("done")).select(F.col("source").alias("s"), "unit", "lam")
-        r = F.exp(F.least(F.col("lam") * z, F.log(F.lit(float(most)))))
-        sums = cells.filter("size > 0").join(s, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(exact(F.col("n") * z * r).alias("g"), exact(F.when(F.col("lam") * z < F.log(F.lit(float(most))), F.col("n") * z * z * r).otherwise(0.0)).alias("hess"), F.first("unit").alias("u"))
-        sums = sums.select("s", "g", "hess")
-        j = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-        gap = F.col("g") - F.col("target") / F.col("unit")
-        lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
-        j = j.withColumns({"lo2": lo, "hi2": hi, "new": F.col("lam") - gap / F.nullif(F.col("hess"), F.lit(0.0)), "near": F.abs(gap) <= F.lit(CLOSE) * F.greatest(F.col("target") / F.col("unit"), F.lit(1e-9))})
-        new = F.when((F.col("new") > F.col("lo2")) & (F.col("new") < F.col("hi2")), F.col("new")).otherwise((F.col("lo2") + F.col("hi2")) / 2)
-        state = cut(j.select("source", "target", "unit", F.when(F.col("done"), F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(F.col("done"), F.col("hi")).otherwise(F.col("hi2")).alias("hi"), F.when(F.col("done") | F.col("near"), F.col("lam")).otherwise(new).alias("lam"), (F.col("done") | F.col("near")).alias("done")), small=True)
+    goal, unit = F.col("target") / F.col("unit"), F.col("unit")
+    made = lambda lo, hi, lam, done: F.struct(lo.alias("lo"), hi.alias("hi"), lam.alias("lam"), done.alias("done"))
+
+    def summed(lam):
+        """Words at this lam over the unit, and how they change with it."""
+        def add(t, c):
+            z = c["size"] / unit
+            words = c["n"] * z * F.exp(F.least(lam * z, top))
+            return F.struct((t["g"] + words).alias("g"), (t["h"] + F.when(lam * z < top, words * z).otherwise(0.0)).alias("h"))
+
+        return F.aggregate("counts", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add)
+
+    def moved(s, t):
+        gap = t["g"] - goal
+        near = F.abs(gap) <= F.lit(CLOSE) * F.greatest(goal, F.lit(1e-9))
+        lo, hi = F.when(gap < 0, s["lam"]).otherwise(s["lo"]), F.when(gap > 0, s["lam"]).otherwise(s["hi"])
+        new = s["lam"] - gap / F.nullif(t["h"], F.lit(0.0))
+        return made(lo, hi, F.when(near, s["lam"]).when((new > lo) & (new < hi), new).otherwise((lo + hi) / 2), near)
+
+    # an array of one element gives the sums a name, so that they are taken once a step
+    step = lambda s, _: F.when(s["done"], s).otherwise(F.get(F.transform(F.array(summed(s["lam"])), lambda t: moved(s, t)), F.lit(0)))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), made(F.col("lo"), F.col("hi"), F.col("lam"), F.col("done")), step)
+    state = cut(base.withColumn("s", solved).select("source", F.col("s.lam").alias("lam"), "unit", F.col("s.done").alias("done")), small=True)
+    if state.filter(~F.col("done")).limit(1).count():
+        raise RuntimeError(f"rates have not converged after {steps} Newton steps")
     return state.select("source", "lam", "unit")
 
 
