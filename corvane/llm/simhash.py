@@ -16,6 +16,8 @@ from corvane.llm.components import connected_components, local_components
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in a tile that is compared at once; in a tile that is dealt; fingerprints (each counted once a block) a task; rows of the table of dealt tiles that are broadcast at most.
 TILE, HEAVY, PER_TASK, BROADCAST_TILES = 256, 16384, 400_000, 500_000
+#: Dense groups (class, part of a class) that are broadcast at most, a few MB; more are joined.
+BROADCAST_GROUPS = 100_000
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -377,7 +379,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     thin = found.filter("left").select(F.col("a").alias("k"), F.col("b").alias("s"))
     if not thin.isEmpty():
         linked = cut(linked, small=True)
-        rest = dealt.join(F.broadcast(thin), (F.col("key") == F.col("k")) & (F.col("sub") == F.col("s")), "left_semi")
+        few = F.broadcast if thin.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else (lambda x: x)
+        rest = dealt.join(few(thin), (F.col("key") == F.col("k")) & (F.col("sub") == F.col("s")), "left_semi")
         rest = rest.join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").drop("n").withColumn("root", F.coalesce("root", "node"))
         more = rest.repartition(n, "key", "sub").mapInArrow(compare_rest, "a long, b long").distinct().join(found.filter("not left"), ["a", "b"], "left_anti")
         linked = connected_components(verified(more).union(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
