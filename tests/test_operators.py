@@ -102,6 +102,57 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def _sliced(monkeypatch):
+    """Scores are made for SLICE at most at a time; a task that makes more fails."""
+    from corvane.operators import search as module
+
+    scores, most = module._scores, (512, 4096)
+
+    def checked(q, p, metric):
+        assert len(q) <= most[0] and len(p) <= most[1]
+        return scores(q, p, metric)
+
+    monkeypatch.setattr(module, "_scores", checked)
+
+
+def test_knn_holds_a_slice_of_scores_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    _sliced(monkeypatch)
+    v = np.round(np.random.default_rng(4).standard_normal((5000, 4)), 1)
+    v[100:200] = v[7]  # copies: ties go to the smaller id, over slices too
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r.query_id, r.rank): r.id for r in search.knn(df, df.filter("vec_id % 8 = 0"), 5, "dot", exclude_self=True).collect()}
+    s = np.round(v[::8] @ v.T, 6)
+    s[np.arange(len(s)), np.arange(0, 5000, 8)] = -np.inf
+    want = np.lexsort((np.broadcast_to(np.arange(5000), s.shape), -s), axis=1)[:, :5]
+    assert got == {(8 * q, r + 1): int(i) for q, row in enumerate(want) for r, i in enumerate(row)}
+
+
+def test_knn_lsh_makes_no_rows_of_pairs(spark, monkeypatch):
+    import numpy as np
+
+    _sliced(monkeypatch)
+    v = np.random.default_rng(5).standard_normal((600, 64))
+    v[300:340] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(3, v[9].tolist()), (700, None)]  # an id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    hits = search.knn_lsh(df, df.filter("vec_id < 50"), 6)
+    assert "Join" not in hits._jdf.queryExecution().toString()
+    v, ids = np.concatenate([v, v[9:10]]), np.r_[np.arange(600), 3]
+    planes = np.random.default_rng(7).standard_normal((12, 6, 64))
+    bits = np.einsum("tbd,nd->ntb", planes, v) >= 0
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for q in np.flatnonzero(ids < 50):
+        near = ((bits != bits[q]).sum(axis=2) <= 1).any(axis=1)
+        want.setdefault(int(ids[q]), []).extend((-round(float(unit[q] @ unit[p]), 6), int(ids[p])) for p in np.flatnonzero(near))
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.id))
+    assert got == {q: sorted(x)[:6] for q, x in want.items()}
+
+
 def test_true_mmr_prefers_diverse_points(spark):
     pts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.6, 0.8])], "vec_id long, embedding array<double>")
     hits = spark.createDataFrame([(9, 1, 0.9), (9, 2, 0.89), (9, 3, 0.7)], "query_id long, id long, score double")
