@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corvane.operators.search import BLOCK, payload_filter
+from corvane.operators.search import BLOCK, SLICE, payload_filter
 from corvane.sources.tables import cut, spread_rows
 
 #: Rows that centres and books are fitted on at most (those of the smallest id hashes), k-means steps, entries of a book, and cells at most.
@@ -189,19 +189,21 @@ def search(index: VectorIndex, points: DataFrame, queries: DataFrame, k: int = 1
                 at, cell = b.column(0).to_numpy(), b.column(2).to_numpy()
                 codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(at), pieces) if len(at) else np.empty((0, pieces), np.uint8)
                 for c in np.unique(cell):
-                    rows, who = np.flatnonzero(cell == c), np.flatnonzero(wanted[:, c])
-                    # the product with decoded codes is what adding up tables of distances gives, for all queries of the cell at once
-                    near = centres[c] + np.concatenate([books[m][codes[rows, m]] for m in range(pieces)], axis=1)[:, :width]
-                    s, met[who] = q[who] @ near.T, met[who] + len(rows)
-                    if len(rows) > best_of:
-                        keep = np.argpartition(-s, best_of - 1, axis=1)[:, :best_of]
-                        s, near_ids = np.take_along_axis(s, keep, 1), at[rows][keep]
-                    else:
-                        near_ids = np.broadcast_to(at[rows], s.shape)
-                    for i, w in enumerate(who):
-                        score, ident = np.concatenate([best[w][0], s[i]]), np.concatenate([best[w][1], near_ids[i]])
-                        first = np.lexsort((ident, -score))[:best_of]
-                        best[w] = score[first], ident[first]
+                    its, asks = np.flatnonzero(cell == c), np.flatnonzero(wanted[:, c])
+                    met[asks] += len(its)
+                    for rows, who in ((its[i : i + SLICE[1]], asks[j : j + SLICE[0]]) for i in range(0, len(its), SLICE[1]) for j in range(0, len(asks), SLICE[0])):
+                        # the product with decoded codes is what adding up tables of distances gives, for many queries of the cell at once
+                        near = centres[c] + np.concatenate([books[m][codes[rows, m]] for m in range(pieces)], axis=1)[:, :width]
+                        s = q[who] @ near.T
+                        if len(rows) > best_of:
+                            keep = np.argpartition(-s, best_of - 1, axis=1)[:, :best_of]
+                            s, near_ids = np.take_along_axis(s, keep, 1), at[rows][keep]
+                        else:
+                            near_ids = np.broadcast_to(at[rows], s.shape)
+                        for i, w in enumerate(who):
+                            score, ident = np.concatenate([best[w][0], s[i]]), np.concatenate([best[w][1], near_ids[i]])
+                            first = np.lexsort((ident, -score))[:best_of]
+                            best[w] = score[first], ident[first]
             n = [len(x) for _, x in best]
             if sum(n):
                 first = np.r_[0, np.cumsum(n)[:-1]]
