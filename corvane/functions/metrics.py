@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from corvane.functions.text import metric_tokens, ngrams, normalise, words
+from corvane.functions.text import metric_tokens, normalise, words
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:
@@ -27,17 +27,41 @@ def f1(prediction: Column, truth: Column) -> Column:
 
 
 def bleu(prediction: Column, truth: Column, order: int = 4) -> Column:
-    """Mean of the logs of unclipped n-gram precisions, with brevity penalty; 0 if any order has no match."""
-    p, t = metric_tokens(prediction), metric_tokens(truth)
-    # both lists of n-grams are bound to a name first, so that they are made once a row
-    found = lambda n: F.transform(F.array(F.struct(ngrams(p, n).alias("p"), ngrams(t, n).alias("t"))), lambda x: F.size(F.filter(x["p"], lambda g: F.array_contains(x["t"], g))))[0]
-    hits = [found(n) for n in range(1, order + 1)]
-    total = [F.greatest(F.size(p) - (n - 1), F.lit(0)) for n in range(1, order + 1)]
-    used = F.least(F.size(p), F.lit(order))
-    none = reduce(lambda a, b: a | b, [(F.lit(n) <= used) & (hits[n - 1] == 0) for n in range(1, order + 1)])
-    logs = reduce(lambda a, b: a + b, [F.when(F.lit(n) <= used, F.ln(F.greatest(hits[n - 1], F.lit(1)) / F.greatest(total[n - 1], F.lit(1)))).otherwise(0.0) for n in range(1, order + 1)])
-    brevity = F.when(F.size(p) >= F.size(t), 1.0).otherwise(F.exp(1 - F.size(t) / F.greatest(F.size(p), F.lit(1))))
-    return F.when((F.size(p) == 0) | (F.size(t) == 0) | none, 0.0).otherwise(brevity * F.exp(logs / used))
+    """Mean of the logs of unclipped n-gram precisions, with brevity penalty; 0 if any order has no match.
+
+    Tokens are made once a row; n-grams are looked up in a set, on Arrow batches: a list of them in SQL is searched from its start for each n-gram.
+    """
+    counts = _ngram_hits(order)(metric_tokens(prediction), metric_tokens(truth))
+
+    def score(c: Column) -> Column:
+        hits, p, t = [c[n - 1] for n in range(1, order + 1)], c[order], c[order + 1]
+        used = F.least(p, F.lit(order))
+        none = reduce(lambda a, b: a | b, [(F.lit(n) <= used) & (hits[n - 1] == 0) for n in range(1, order + 1)])
+        logs = reduce(lambda a, b: a + b, [F.when(F.lit(n) <= used, F.ln(F.greatest(hits[n - 1], F.lit(1)) / F.greatest(p - (n - 1), F.lit(1)))).otherwise(0.0) for n in range(1, order + 1)])
+        brevity = F.when(p >= t, 1.0).otherwise(F.exp(1 - t / F.greatest(p, F.lit(1))))
+        return F.when((p == 0) | (t == 0) | none, 0.0).otherwise(brevity * F.exp(logs / used))
+
+    return F.transform(F.array(counts), score)[0]
+
+
+def _ngram_hits(order: int):
+    """Of each row's two lists of tokens: how many n-grams of the first stand in the second, repeats counted, for n from 1 to ``order``, and the lists' lengths; null if either is."""
+
+    def hits(p, t) -> list[int] | None:
+        if p is None or t is None:
+            return None
+        p, t = p.tolist(), t.tolist()
+        found = []
+        for n in range(1, order + 1):
+            there = set(zip(*(t[i:] for i in range(n))))
+            found.append(sum(g in there for g in zip(*(p[i:] for i in range(n)))))
+        return [*found, len(p), len(t)]
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(prediction: pd.Series, truth: pd.Series) -> pd.Series:
+        return pd.Series([hits(p, t) for p, t in zip(prediction, truth)], dtype=object)
+
+    return run
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
