@@ -118,11 +118,16 @@ def text_date(c: Column, versions: bool = False) -> Column:
 
     ``versions`` also reads a regulation's number and year as month and year.
     """
-    g = lambda p, i: F.nullif(F.regexp_extract(c, "(?i)" + p, i), F.lit("")) if i else F.lit("1")
+    # a pattern's groups are bound to names, so that each is looked for once a row, and only in texts that the pattern fits
+    def step(p: str, y: int, m: int, d: int) -> Column:
+        g = lambda i: F.regexp_extract(c, "(?i)" + p, i) if i else F.lit("1")
+        read = F.transform(F.array(F.struct(g(y).alias("y"), g(m).alias("m"), g(d).alias("d"))), lambda x: _date(x["y"], x["m"], x["d"]))[0]
+        return F.when(c.rlike("(?i)" + p), read)
+
     places = [(3, 2, 1), (3, 2, 1), (1, 0, 0), (2, 1, 0), (1, 2, 3)]  # groups of year, month and day of each pattern
-    steps = [_date(g(p, y), g(p, m), g(p, d)) for p, (y, m, d) in zip(DATE_PATTERNS, places)]
+    steps = [step(p, y, m, d) for p, (y, m, d) in zip(DATE_PATTERNS, places)]
     if versions:
-        steps.append(_date(g(VERSION_PATTERN, 2), g(VERSION_PATTERN, 1), F.lit("1")))
+        steps.append(step(VERSION_PATTERN, 2, 1, 0))
     return F.coalesce(*steps)
 
 
@@ -130,8 +135,12 @@ def key_values(c: Column) -> Column:
     """map of key to value that a text states ("x is 5", "x: 5%"); later statements override earlier ones."""
     pairs = F.concat(*[F.arrays_zip(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), lambda x: F.lower(strip(x))).alias("k"), F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(2)), strip).alias("v")) for p in map("(?iU)".__add__, KEY_VALUE_PATTERNS)])
     pairs = F.filter(pairs, lambda x: (x["k"] != "") & (x["v"] != ""))
-    last = F.filter(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(pairs, x["i"] + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+    def last(p: Column) -> Column:
+        return F.filter(F.transform(p, lambda x, i: F.struct(x["k"].alias("k"), x["v"].alias("v"), i.alias("i"))), lambda x: ~F.exists(F.slice(p, x["i"] + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+
+    bound = F.transform(F.array(pairs), lambda p: F.transform(last(p), lambda x: F.struct(x["k"], x["v"])))[0]  # pairs are read once a row
+    return F.map_from_entries(bound)
 
 
 def estimate_tokens(c: Column) -> Column:

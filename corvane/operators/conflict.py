@@ -19,7 +19,13 @@ def dated(chunks: DataFrame, text_col: str = "text", date_col: str | None = "dat
 def topic(text: Column, query: Column) -> Column:
     """The first three, sorted, of the entities that a chunk shares with the query, or general."""
     common = F.array_sort(F.array_intersect(entities(text), entities(query)))
-    return F.when(F.size(common) == 0, "general").otherwise(F.array_join(F.slice(common, 1, 3), "_"))
+    return F.transform(F.array(common), lambda c: F.when(F.size(c) == 0, "general").otherwise(F.array_join(F.slice(c, 1, 3), "_")))[0]
+
+
+def _stated(rows: DataFrame, query_col: str, id_col: str, text_col: str, group: str, *more: str) -> DataFrame:
+    """(group, topic, id, more columns, key, value, plain): a row for each key that a chunk gives a value."""
+    about = rows.select(group, topic(F.col(text_col), F.col(query_col)).alias("topic"), F.col(id_col).alias("id"), *more, F.explode(key_values(F.col(text_col))).alias("key", "value"))
+    return about.withColumn("plain", F.regexp_replace("value", r"[,.\s]", ""))
 
 
 def conflict_pairs(chunks: DataFrame, query_col: str = "query", id_col: str = "id", text_col: str = "text", date_col: str | None = "date", group: str = "query_id") -> DataFrame:
@@ -27,14 +33,24 @@ def conflict_pairs(chunks: DataFrame, query_col: str = "query", id_col: str = "i
 
     Values are compared without commas, dots and spaces. date if both chunks are dated, else version if only one speaks of an update, else value. An equi-join on (group, topic, key); a < b.
     """
-    rows = dated(chunks, text_col, date_col).withColumn("topic", topic(F.col(text_col), F.col(query_col)))
-    kv = rows.select(group, "topic", F.col(id_col).alias("id"), "doc_date", "is_newer", F.explode(key_values(F.col(text_col))).alias("key", "value")).withColumn("plain", F.regexp_replace("value", r"[,.\s]", ""))
+    kv = _stated(dated(chunks, text_col, date_col), query_col, id_col, text_col, group, "doc_date", "is_newer")
     a, b = (kv.select(F.col(group).alias(group), "topic", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "value", "plain", "doc_date", "is_newer")]) for s in "ab")
     j = a.join(b, [group, "topic", "key"]).filter((F.col("id_a") < F.col("id_b")) & (F.col("plain_a") != F.col("plain_b")))
     kind = F.when(F.col("doc_date_a").isNotNull() & F.col("doc_date_b").isNotNull(), "date").when(F.col("is_newer_a") != F.col("is_newer_b"), "version").otherwise("value")
     return j.select(group, "topic", "key", "id_a", "id_b", "value_a", "value_b", kind.alias("kind"))
 
 
+def in_conflict(chunks: DataFrame, query_col: str = "query", id_col: str = "id", text_col: str = "text", group: str = "query_id") -> DataFrame:
+    """(group, id): the chunks of :func:`conflict_pairs`, without making pairs. A chunk is one if some chunk of another id and the same topic gives the key another value.
+
+    Counts tell: of all values under a key, those with its id or its value are taken off. Null groups and ids conflict with nothing.
+    """
+    kv = _stated(chunks, query_col, id_col, text_col, group).filter(F.col(group).isNotNull() & F.col("id").isNotNull())
+    facts = kv.groupBy(group, "topic", "key", "id", "plain").agg(F.lit(1).alias("one"))
+    n = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(group, "topic", "key", *by))
+    return facts.withColumn("others", n() - n("id") - n("plain") + 1).filter("others > 0").select(group, F.col("id").alias(id_col)).distinct()
+
+
 def resolve(chunks: DataFrame, as_of: str, strategy: str = "prefer_newer", id_col: str = "id", text_col: str = "text", date_col: str | None = "date", score_col: str = "similarity", group: str = "query_id", conflicts: DataFrame | None = None, days: int = 3650, prefix: int = 200, digits: int = 6) -> DataFrame:
     """Chunks in order (rank) after resolution.
 
@@ -61,6 +77,21 @@ def resolve(chunks: DataFrame, as_of: str, strategy: str = "prefer_newer", id_co
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, id_col)))
 
 
+def resolve_by_all(chunks: DataFrame, strategies: tuple = STRATEGIES[1:], query_col: str = "query", id_col: str = "id", text_col: str = "text", date_col: str | None = "date", score_col: str = "similarity", group: str = "query_id", digits: int = 6) -> DataFrame:
+    """(strategy, group, id, rank, note): what :func:`resolve` gives by each of several strategies that keep all chunks. Texts are read for dates once and for keys once, whatever their number."""
+    if not set(strategies) <= set(STRATEGIES[1:]):
+        raise ValueError(f"unknown strategy, or one that drops chunks, in {strategies}")
+    rows = dated(chunks, text_col, date_col).select(group, id_col, "doc_date", F.round(F.coalesce(F.col(score_col), F.lit(0.5)), digits).alias("resolved_score"))
+    marked = in_conflict(chunks, query_col, id_col, text_col, group).withColumn("disputed", F.lit(True))
+    rows = rows.join(marked, [group, id_col], "left")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("resolved_score").desc(), id_col))
+    rows = rows.withColumn("place", place).withColumn("given", F.row_number().over(Window.partitionBy(group).orderBy(id_col)))
+    stamp = F.concat(F.lit(" [version of "), F.coalesce(F.date_format("doc_date", "yyyy-MM-dd"), F.lit("unknown date")), F.lit("]"))
+    notes = {"merge_all": F.lit(" [sources disagree]"), "show_all_versions": stamp}
+    one = lambda s: F.struct(F.lit(s).alias("strategy"), F.col("given" if s == "manual_review" else "place").alias("rank"), (F.when(F.col("disputed"), notes[s]).otherwise("") if s in notes else F.lit("")).alias("note"))
+    return rows.select(group, id_col, F.explode(F.array(*[one(s) for s in strategies])).alias("s")).select("s.strategy", group, id_col, "s.rank", "s.note")
+
+
 def latest_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in the given order: one aggregation, map-side first."""
     rest = [c for c in df.columns if c not in keys]

@@ -309,3 +309,37 @@ def test_cache_ttl_and_eviction(spark):
     c = spark.createDataFrame([(str(i), i, f"2024-01-0{i} 00:00:00") for i in range(1, 6)], "key string, bytes long, used_at string").withColumn("used_at", F.to_timestamp("used_at")).withColumn("created_at", F.col("used_at"))
     assert {r.key for r in registry.cache_evict(c, 12).collect()} == {"4", "5"} and registry.cache_evict(c, 15).count() == 5
     assert registry.cache_live(c, "2024-01-05 12:00:00").count() == 1
+
+
+def test_bleu_looks_ngrams_up_in_a_set(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices("abcde", k=rng.randrange(0, 40))), " ".join(rng.choices("abcde", k=rng.randrange(0, 40)))) for i in range(60)] + [(60, None, "a")]
+    df = spark.createDataFrame(rows, "i int, p string, t string").select("i", M.bleu(F.col("p"), F.col("t")).alias("b"))
+    assert "array_contains" not in df._jdf.queryExecution().toString()
+
+    def bleu(p, t):
+        p, t = p.split(), t.split()
+        grams = lambda x, n: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)]
+        used = min(len(p), 4)
+        hits = [sum(g in grams(t, n) for g in grams(p, n)) for n in range(1, used + 1)]
+        if not p or not t or 0 in hits:
+            return 0.0
+        return (1.0 if len(p) >= len(t) else math.exp(1 - len(t) / len(p))) * math.exp(sum(math.log(h / (len(p) - n)) for n, h in enumerate(hits)) / used)
+
+    got = {r.i: r.b for r in df.collect()}
+    assert all(got[i] == pytest.approx(bleu(p, t)) for i, p, t in rows if p is not None)
+
+
+def test_chunks_in_conflict_are_found_without_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), i // 2, f"fee is {rng.randrange(3)}. rate: {rng.choice(['5%', '5.%', '7%'])}" if rng.random() < 0.8 else "none", 0.1 * i % 1, "q") for i in range(60)]
+    df = spark.createDataFrame(rows, "query_id long, id long, text string, similarity double, query string")
+    pairs = conflict.conflict_pairs(df, date_col=None)
+    want = {(r.query_id, i) for r in pairs.collect() for i in (r.id_a, r.id_b)}
+    marked = conflict.in_conflict(df)
+    assert {tuple(r) for r in marked.collect()} == want and want
+    assert "Join" not in marked._jdf.queryExecution().toString()
+    got = conflict.resolve_by_all(df, date_col=None)
+    for s in conflict.STRATEGIES[1:]:
+        one = conflict.resolve(df, "2025-01-01", s, date_col=None, conflicts=pairs).select("query_id", "id", "rank", F.col("note") if s in ("merge_all", "show_all_versions") else F.lit("").alias("note"))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, got.filter(F.col("strategy") == s).drop("strategy").collect()))
