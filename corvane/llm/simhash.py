@@ -169,8 +169,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 #: Near duplicates: words in a shingle, least Jaccard similarity of the shingle sets, and differing bits within which pairs are verified.
-#: Texts of similarity 0.8 differ in 9.7 bits on average, 95 in 100 in 14 at most; more alike texts in fewer.
-NEAR_SHINGLE, SIMILARITY, NEAR_RADIUS = 5, 0.8, 14
+#: Texts of similarity 0.8 differ in 9.7 bits on average, 95 in 100 in 14 at most, 999 in 1000 in 20; more alike texts in fewer.
+NEAR_SHINGLE, SIMILARITY, NEAR_RADIUS = 5, 0.8, 20
+#: Keys of a text, and min-hashes in each. Of pairs of similarity s, (1 - s ** IN_KEY) ** KEYS have no key in common: 3 in a million at 0.8.
+KEYS, IN_KEY = 24, 4
+_ODD = np.random.default_rng(SEED).integers(0, 2**63, KEYS * IN_KEY, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 #: Edges of a dense group are thinned to so many spanning forests without common edges once they outnumber the nodes by the second figure.
@@ -208,7 +211,20 @@ def thinned(n: int, x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> np.ndarra
 
 
 #: Most bits of a parity sketch, and pairs whose sketches are compared at once.
-SKETCH_BITS, PAIRS = 4096, 1 << 16
+SKETCH_BITS, PAIRS = 1024, 1 << 16
+
+
+def near_keys(h: np.ndarray) -> np.ndarray:
+    """KEYS hashes, each of IN_KEY min-hashes of a set of hashes: texts with a key in common are compared."""
+    least = np.full(KEYS * IN_KEY, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(least, (h[None, at : at + 2048] * _ODD[:, None]).min(axis=1), out=least)
+    least ^= least >> np.uint64(32)
+    key = np.arange(1, KEYS + 1, dtype=np.uint64) * _ODD[:KEYS]
+    for part in least.reshape(KEYS, IN_KEY).T:
+        key = (key ^ part) * _ODD[0]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def parity_sketch(h: np.ndarray) -> bytes:
@@ -288,67 +304,69 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, group_id) of all rows: group_id is the smallest id among texts that are alike, the id itself for others.
 
     Texts are alike if the Jaccard similarity of their sets of word shingles reaches ``similarity``. Fingerprints
-    of texts whose numbers of shingles allow that are compared in tiles; groups are classes of size and the class
-    above, so no text meets texts of other lengths, and large classes are cut into pairs of parts. Pairs within ``radius``
-    bits, unless a bound by their parity sketches rules them out, are verified on the whole texts. Of a dense group, in which
+    of texts that have one of KEYS min-hash keys in common are compared in tiles (:func:`near_keys`), so a text meets those that may be alike, not all of
+    its length. Pairs within ``radius`` bits, unless a bound by their parity sketches rules them out, are verified on the whole texts. Of a dense group, in which
     they outnumber the texts DENSE to one, FORESTS spanning forests are verified first, the closest pairs first, so a
     group of n near copies gives some n pairs, not n * n; then all other pairs of that group whose ends verified pairs have
-    not connected.
+    not connected. A group of more than HEAVY is first compared in parts of that size, dealt anew for each key; pairs of its parts follow only if it
+    isn't connected by then.
 
     Texts equal in words are one node. A null id is no one's group: such rows keep a null group unless their text equals
     that of a row with an id. Null text counts as empty; texts without words are alike. Rows repeating an id count by each of
     their texts. An empty table gives an empty result. Other columns are not carried, but for
     ``key_col`` (a long that tells the texts of one id apart) if given; then ``first`` is whether the row has the smallest (id, key) of its group.
     """
-    spark = df.sparkSession
+    spark, none = df.sparkSession, np.empty(0, np.int64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, size, same, sketches = [], [], [], []
+            fp, size, same, sketches, keys = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))  # sets are compared, so each shingle counts once
                 fp.append(simhash(h))
                 size.append(len(h))
                 sketches.append(parity_sketch(h))
+                keys.append(near_keys(h) if len(h) else none)
                 same.append(word_digest(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketches, pa.binary())], ["id", "row_key", "node", "fp", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row_key", "node", "fp", "size", "sketch", "keys"])
 
     plain = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"), (F.col(key_col).cast("long") if key_col else F.lit(0).cast("long")).alias("row_key"))
-    rows = cut(plain.mapInArrow(sketch, "id long, row_key long, node long, fp long, size long, sketch binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))).alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), small=True)
-    step = -float(np.log(similarity))
-    classed = nodes.filter("size > 0 and id is not null").withColumn("class", F.floor(F.ln("size") / step).cast("long"))
-    spots = classed.select("node", "fp", "size", "sketch", F.explode(F.array(F.struct(F.col("class").alias("key"), F.lit(False).alias("upper")), F.struct((F.col("class") - 1).alias("key"), F.lit(True).alias("upper")))).alias("s")).select("node", "fp", "size", "sketch", "s.*")
-    counts = cut(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")), small=True)
-    heavy = counts.filter(F.col("n") > HEAVY).select(F.col("key").alias("hk"), F.ceil(F.col("n") / HEAVY).cast("int").alias("m"))
-    joined = spots.join(F.broadcast(heavy), F.col("key") == F.col("hk"), "left")  # one row for each class of size
-    part = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    dealt = joined.select("node", "fp", "size", "sketch", "upper", "key", F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(part, j) * F.lit(1 << 15) + F.greatest(part, j)))).alias("sub"))
+    rows = cut(plain.mapInArrow(sketch, "id long, row_key long, node long, fp long, size long, sketch binary, keys array<long>"))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row_key"))).alias("least"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), small=True)
+    classed = nodes.filter("size > 0 and id is not null")
+    keyed = classed.select("node", F.explode("keys").alias("key")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    shared = cut(keyed.filter("n > 1").withColumn("m", F.ceil(F.col("n") / HEAVY).cast("int")).select("node", "key", "m"), small=True)
+    attributes = classed.select(F.col("node").alias("named"), "fp", "size", "sketch")
+    part = F.when(F.col("m") > 1, F.pmod(F.xxhash64("node", "key"), F.col("m"))).otherwise(0).cast("int")
+    spots = lambda some: some.join(attributes, F.col("node") == F.col("named")).drop("named")
+    dealt = spots(shared.withColumn("sub", part * F.lit((1 << 15) + 1)))
 
     def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        node, fp, size, upper, key, sub, root = (t.column(c).to_numpy() for c in ("node", "fp", "size", "upper", "key", "sub", "root"))
+        node, fp, size, key, sub, root = (t.column(c).to_numpy() for c in ("node", "fp", "size", "key", "sub", "root"))
         sketches = t.column("sketch")
         order = np.lexsort((sub, key))
-        node, fp, size, upper, key, sub, root = (v[order] for v in (node, fp.view(np.uint64), size, upper, key, sub, root))
+        node, fp, size, key, sub, root = (v[order] for v in (node, fp.view(np.uint64), size, key, sub, root))
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])])
         for a, b in zip(starts, np.r_[starts[1:], len(node)]):
             sketch = folded(sketches.take(pa.array(order[a:b])).to_pylist())
-            yield key[a], sub[a], node[a:b], root[a:b], (fp[a:b], size[a:b], upper[a:b], sketch, radius, similarity)
+            yield key[a], sub[a], node[a:b], root[a:b], (fp[a:b], size[a:b], np.zeros(b - a, bool), sketch, radius, similarity)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, sub, node, _, given in groups_of(batches):
             x, y, less = thinned_edges(len(node), near_edges(*given))
             a, b, left = np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.zeros(len(x), bool)
-            if less:  # a row that names the group
+            if less and not sub:  # a row that names the group; of those in parts all are looked at again
                 a, b, left = np.r_[a, key], np.r_[b, sub], np.r_[left, True]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left)], ["a", "b", "left"])
 
     def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, node, root, given in groups_of(batches):
+            if (root == root[0]).all():
+                continue
             for x, y, _ in near_edges(*given, root=root):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
 
@@ -376,12 +394,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = shuffle_partitions(spark)
     found = cut(dealt.withColumn("root", F.col("node")).repartition(n, "key", "sub").mapInArrow(compare, "a long, b long, left boolean").distinct(), small=True)
     linked = connected_components(verified(found.filter("not left").select("a", "b")))
-    thin = found.filter("left").select(F.col("a").alias("k"), F.col("b").alias("s"))
+    thin = found.filter("left").select(F.col("a").alias("k")).union(shared.filter("m > 1").select("key")).distinct()
     if not thin.isEmpty():
         linked = cut(linked, small=True)
         few = F.broadcast if thin.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else (lambda x: x)
-        rest = dealt.join(few(thin), (F.col("key") == F.col("k")) & (F.col("sub") == F.col("s")), "left_semi")
-        rest = rest.join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").drop("n").withColumn("root", F.coalesce("root", "node"))
+        rest = shared.join(few(thin), F.col("key") == F.col("k"), "left_semi").join(linked.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").drop("n").withColumn("root", F.coalesce("root", "node"))
+        of_key = Window.partitionBy("key")
+        rest = rest.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).filter("low <> high").drop("low", "high")
+        pairs_of_parts = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least(part, j) * F.lit(1 << 15) + F.greatest(part, j))
+        rest = spots(rest.withColumn("sub", F.explode(pairs_of_parts)))
         more = rest.repartition(n, "key", "sub").mapInArrow(compare_rest, "a long, b long").distinct().join(found.filter("not left"), ["a", "b"], "left_anti")
         linked = connected_components(verified(more).union(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     linked = linked.withColumnRenamed("node", "n")

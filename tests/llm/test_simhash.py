@@ -195,3 +195,25 @@ def test_parity_sketches_bound_the_difference():
         y = np.r_[x[n // 5 :], rng.integers(0, 2**63, n // 4 + 1).astype(np.uint64)]
         f = simhash.folded([simhash.parity_sketch(x), simhash.parity_sketch(y)])
         assert 0 < np.bitwise_count(f[0] ^ f[1]).sum() <= len(np.setxor1d(x, y)) and not np.bitwise_count(f[0] ^ simhash.folded([simhash.parity_sketch(x)] * 2)[0]).sum() * (len(simhash.parity_sketch(x)) == f.shape[1] * 8)
+
+
+def test_near_duplicates_at_the_least_similarity(spark):
+    """Texts of like length and of similarity 0.80 to 0.83, one to a pair: bits within 14 miss some of them."""
+    rows = []
+    for k in range(150):
+        w = words(7000 + k, 240).split()
+        for at in range(k % 30, 240, 48):  # five words differ, so 25 of 236 shingles
+            w[at] = f"other{k}x{at}"
+        rows += [(2 * k, words(7000 + k, 240)), (2 * k + 1, " ".join(w))]
+    want = plain_groups(rows)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want[i] == i - 1 for i in range(1, 300, 2)) == 150 and [got[i] for i, _ in rows] == want
+
+
+def test_keys_of_sets():
+    """Unlike sets of like size share no key and are not dealt together; those of similarity 0.8 do."""
+    rng = np.random.default_rng(12)
+    sets = rng.integers(0, 2**63, (400, 900)).astype(np.uint64)
+    keys = [set(simhash.near_keys(x[:800]).tolist()) for x in sets]
+    assert len(set().union(*keys)) == 400 * simhash.KEYS
+    assert all(k & set(simhash.near_keys(x[89:889]).tolist()) for k, x in zip(keys, sets))
