@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from helpers import empty, messy, words
 
-from corvane.llm import simhash
+from corvane.llm import components, simhash
 from corvane.llm.components import connected_components, local_components
 
 
@@ -107,6 +107,25 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_tasks_and_every_path(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 900)] + [(2000 + rng.randrange(400), 2000 + rng.randrange(400)) for _ in range(300)] + [(5000, i) for i in range(5001, 5600)] + [(7, None), (9, 9)]
+    rng.shuffle(edges)
+    nodes = sorted({x for a, b in edges if b is not None and a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(nodes)}
+    a, b = np.array([[at[x] for x in e] for e in edges if e[1] is not None and e[0] != e[1]]).T
+    want = {x: nodes[r] for x, r in zip(nodes, local_components(len(nodes), a, b))}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    before = max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=-1)
+    assert {r.node: r.root for r in connected_components(df).collect()} == want
+    jobs = [x for x in spark.sparkContext.statusTracker().getJobIdsForGroup() if x > before]
+    assert len(jobs) < 25  # a round of joins took 16 of them, and such a chain several rounds
+    for at_once, broadcast in ((1 << 19, 0), (150, 500_000), (20, 0)):  # several forests a task, ties in levels, rounds of joins
+        monkeypatch.setattr(components, "AT_ONCE", at_once)
+        monkeypatch.setattr(components, "BROADCAST_ROOTS", broadcast)
+        assert {r.node: r.root for r in connected_components(df).collect()} == want
+
+
 def plain_groups(rows, similarity=0.8):
     sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for _, t in rows)]
     ids = [i for i, _ in rows]
