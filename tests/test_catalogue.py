@@ -22,6 +22,14 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+@there
+@pytest.mark.parametrize("name", ["metrics_by_k"])
+def test_every_row_is_a_query(spark, name):
+    ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
+    rows = QUERIES[name](spark, FOLDER).collect()
+    assert {r.n for r in rows} == {len(ids)} if name == "metrics_by_k" else {r.query_id for r in rows} == ids
+
+
 def test_entry_is_importable():
     import __spark_entry__
 

@@ -343,3 +343,13 @@ def test_chunks_in_conflict_are_found_without_pairs(spark):
     for s in conflict.STRATEGIES[1:]:
         one = conflict.resolve(df, "2025-01-01", s, date_col=None, conflicts=pairs).select("query_id", "id", "rank", F.col("note") if s in ("merge_all", "show_all_versions") else F.lit("").alias("note"))
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, got.filter(F.col("strategy") == s).drop("strategy").collect()))
+
+
+def test_label_metrics_are_those_of_all_pairs_of_a_label(spark):
+    e = spark.createDataFrame([(i, i % 3 if i < 18 else 7) for i in range(19)] + [(4, 1), (5, 0)], "vec_id long, label int")  # 4 and 5 occur twice, 18 has no other of its label
+    q = e.filter("vec_id % 2 = 0")
+    hits = spark.createDataFrame([(m, i, (i * s + r) % 19, r) for m, s in (("a", 1), ("b", 5)) for i in range(0, 19, 2) for r in range(1, 6) if (i * s + r) % 19 != i], "method string, query_id long, id long, rank int")
+    other = e.select(F.col("vec_id").alias("id"), F.col("label").alias("l"))
+    qrels = q.join(other, F.col("label") == F.col("l")).filter("vec_id <> id").select(F.col("vec_id").alias("query_id"), "id")
+    got, want = (sorted(map(tuple, x.collect())) for x in (evaluation.label_metrics(hits, q, e, keys=("method", "query_id")), evaluation.retrieval_metrics(hits, qrels, keys=("method", "query_id"))))
+    assert got == want and len(got) == 9 * 2 * 4
