@@ -23,7 +23,7 @@ def test_runs(spark, name):
 
 
 @there
-@pytest.mark.parametrize("name", ["metrics_by_k"])
+@pytest.mark.parametrize("name", ["metrics_by_k", "rerank_embedding"])
 def test_every_row_is_a_query(spark, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()}
     rows = QUERIES[name](spark, FOLDER).collect()
