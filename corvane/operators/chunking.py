@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from corvane.functions.text import sentences, strip, word_count
+from corvane.functions.text import sentences, strip, tokens, word_count
 
 # Separators from paragraphs to single characters, in order.
 SEPARATORS = ["\n\n", "\n", ". ", "? ", "! ", ", ", " ", ""]
@@ -84,20 +88,26 @@ def split_recursive(text: str, size: int, overlap: int, separators: list[str] =
         return [text.strip()] if text.strip() else []
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     sep, rest = separators[at], separators[at + 1 :] or [""]
-    pieces = list(text) if sep == "" else [p + sep if i < text.count(sep) else p for i, p in enumerate(text.split(sep))]
-    out, now = [], []
+    pieces = list(text) if sep == "" else text.split(sep)
+    if sep:
+        pieces[:-1] = [p + sep for p in pieces[:-1]]
+    out, now, had = [], [], 0  # had: characters of now
     for p in pieces:
         if len(p) > size:
             if now:
                 out.append("".join(now).strip())
-                now = []
+                now, had = [], 0
             out += split_recursive(p, size, overlap, rest)
             continue
-        if now and sum(map(len, now)) + len(p) > size:
+        if now and had + len(p) > size:
             out.append("".join(now).strip())
-            while now and (sum(map(len, now)) > overlap or sum(map(len, now)) + len(p) > size):
-                now.pop(0)
+            gone = 0
+            while gone < len(now) and (had > overlap or had + len(p) > size):
+                had -= len(now[gone])
+                gone += 1
+            now = now[gone:]
         now.append(p)
+        had += len(p)
     if now:
         out.append("".join(now).strip())
     return [c for c in out if c]
@@ -195,16 +205,58 @@ def break_groups(steps: DataFrame, group: str, order: str, similarity: str = "si
     return flagged.withColumn("block", F.sum(F.col("is_break").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__low")
 
 
+def broken(counts: np.ndarray, similarity: np.ndarray, quantile: float = 0.05) -> np.ndarray:
+    """is_break of :func:`break_groups` for rows in order, of which each group has so many; a group's first row has no similarity."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    first = np.r_[True, group[1:] != group[:-1]][: len(group)]
+    order = np.lexsort((similarity, group))
+    order = order[~first[order]]
+    n = np.maximum(counts - 1, 0)
+    begin, there = np.cumsum(n) - n, np.flatnonzero(n)
+    at = (n[there] - 1) * quantile
+    a, b = (similarity[order[begin[there] + f(at).astype(np.int64)]] for f in (np.floor, np.ceil))
+    low = np.full(len(counts), -np.inf)
+    low[there] = np.where(a == b, a, (np.ceil(at) - at) * a + (at - np.floor(at)) * b)
+    return ~first & (similarity < low[group])
+
+
+#: Tokens whose dimension and sign a task keeps.
+KNOWN = 1 << 18
+
+
 def semantic(df: DataFrame, size: int = 500, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Break between sentences whose embeddings are least alike (under the text's 5th percentile), merge short parts, split long ones."""
-    from corvane.functions.vectors import cosine, hashed_embedding
-
-    s = sentence_rows(df, id_col, text_col).withColumn("v", hashed_embedding(F.col("sentence")))
-    w = Window.partitionBy(id_col).orderBy("position")
-    s = s.withColumn("similarity", F.when(F.lag("position").over(w).isNotNull(), F.round(cosine(F.col("v"), F.lag("v").over(w)), 9)))
-    blocks = break_groups(s.drop("v"), id_col, "position").groupBy(id_col, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "sentence"))), lambda x: x["sentence"]), " ").alias("part"))
-    whole = blocks.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]).alias("parts"))
-    return with_chunk_columns(whole.select(id_col, F.posexplode(merge_and_split(F.col("parts"), size, overlap)).alias("chunk_index", "chunk")), id_col)
+    """Break between sentences whose embeddings are least alike (under the text's 5th percentile), merge short parts, split long ones.
+
+    One pass without a shuffle: a text's sentences and their tokens come to a task together. Rows that repeat an id are texts of their own.
+    """
+    from corvane.functions.vectors import place, similarity_to_previous
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                ids, lists, of = part.columns
+                of = of.flatten()
+                counts, sizes = (pc.fill_null(pc.list_value_length(x), 0).to_numpy().astype(np.int64) for x in (lists, of))
+                words = of.flatten().dictionary_encode()
+                if len(known) > KNOWN:
+                    known.clear()
+                told = np.array([known[t] if t in known else known.setdefault(t, place(t)) for t in words.dictionary.to_pylist()], np.float64).reshape(-1, 2)
+                told = told[words.indices.to_numpy()]
+                cut = broken(counts, similarity_to_previous(told[:, 0].astype(np.int64), told[:, 1], sizes))
+                sentences_, at, rows, out = lists.flatten().to_pylist(), 0, [], []
+                for i, n in enumerate(counts.tolist()):
+                    edges = [0, *np.flatnonzero(cut[at : at + n]).tolist(), n] if n else []
+                    chunks = [c for p in merge_short([" ".join(sentences_[at + s : at + e]) for s, e in zip(edges, edges[1:])]) for c in split_recursive(p, size, overlap)]
+                    rows += [(i, k) for k in range(len(chunks))]
+                    out += chunks
+                    at += n
+                rows = np.array(rows, np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[:, 0])), pa.array(rows[:, 1]), pa.array(out, pa.string())], [id_col, "chunk_index", "chunk"])
+
+    s = df.select(id_col, sentences(F.col(text_col)).alias("s")).select(id_col, "s", F.transform("s", tokens).alias("t"))
+    return with_chunk_columns(s.mapInArrow(run, StructType([s.schema[id_col], StructField("chunk_index", IntegerType()), StructField("chunk", StringType())])), id_col)
 
 
 def chunk_transcripts(df: DataFrame, size: int = 500, overlap: int = 50, id_col: str = "audio_file", segments_col: str = "segments") -> DataFrame:

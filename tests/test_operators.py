@@ -216,6 +216,28 @@ def test_semantic_chunks_hold_all_words(spark):
     assert {r.doc_id for r in got} == {1} and set(text.split()) <= set(" ".join(r.chunk for r in got).split())
 
 
+def test_semantic_chunks_need_no_shuffle_and_break_as_groups_do(spark):
+    from corvane.functions.vectors import cosine, hashed_embedding
+
+    rng = random.Random(6)
+    texts = [" ".join(f"{' '.join(rng.choices(['Katze', 'Äpfel', 'HUND', 'x_1', 'sóng', '7'], k=rng.randint(0, 6)))}{rng.choice('.!?')}" for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate([*texts, "one. one. one. two. two. two.", None, ""])), "doc_id long, text string")
+    got = chunking.chunk(df, "semantic", 120, 20)
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    s = chunking.sentence_rows(df).withColumn("v", hashed_embedding(F.col("sentence"))).toPandas()
+    steps = [(d, p, x, v, w) for (d, p, x, v), w in zip(s.values.tolist(), [None, *s["v"].tolist()])]
+    steps = spark.createDataFrame([(d, p, x, v, w if p else None) for d, p, x, v, w in steps], "doc_id long, position int, sentence string, v array<double>, w array<double>")
+    steps = steps.withColumn("similarity", F.when(F.col("w").isNotNull(), F.round(cosine(F.col("v"), F.col("w")), 9)))
+    parts: dict = {}
+    for r in chunking.break_groups(steps.drop("v", "w"), "doc_id", "position").orderBy("doc_id", "position").collect():
+        parts.setdefault(r.doc_id, {}).setdefault(r.block, []).append(r.sentence)
+    want = {d: [c for p in chunking.merge_short([" ".join(x) for x in blocks.values()]) for c in chunking.split_recursive(p, 120, 20)] for d, blocks in parts.items()}
+    rows: dict = {}
+    for r in got.orderBy("doc_id", "chunk_index").collect():
+        rows.setdefault(r.doc_id, []).append(r.chunk)
+    assert rows == {d: x for d, x in want.items() if x}
+
+
 def test_quality_and_confidence(spark):
     hits = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.6), (1, 3, 0.3)], "query_id long, id long, score double")
     assert answers.retrieval_quality(hits).first().quality == 0.709091
